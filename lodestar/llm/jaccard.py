@@ -312,3 +312,17 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
     own = rows.join(found, rows.set_id == found.node, "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("class"))
     least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return own.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the smallest of their component, once each.
+
+    Rows without an id stay: none of them can name a component.
+    """
+    groups = materialize(jaccard_components(docs, shingle, similarity), "classes")
+    first = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "first-of-class")
+    size = first.count()
+    kept = docs.join(F.broadcast(first) if size <= BROADCAST_IDS else first, "doc_id", "left_semi")
+    if groups.where("doc_id = component_id").count() > size:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))

@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .scratch import materialize
+from pyspark.sql import types as T
 
 FEATURES = [
     "log_words", "log_chars", "chars_per_word", "longest_word", "unique_words", "unique_trigrams", "repeats",
@@ -178,31 +177,43 @@ def held_out(id_col: str = "doc_id", of: int = 3, rest: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(of)) == rest
 
 
-def fit_on(table: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> AdditiveModel:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """Fit on labelled rows outside the held-out third; null labels, and ids with several labels, teach nothing.
 
-    At most ``max_train`` vectors reach the driver, chosen by a hash of the id.
+    At most ``max_train`` labelled ids, chosen by a hash of the id, are broadcast to pick texts, and as
+    many feature vectors reach the driver.
     """
-    told = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z").select("doc_id", "y")
-    rows = table.where(~held_out()).join(told, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("x", "y").toPandas()
-    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
-    return fit(x, rows["y"].to_numpy(np.float64))
+    told = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z")
+    told = told.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", "y")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(told.select("doc_id")), "doc_id")
+    rows = feature_table(texts).join(F.broadcast(told), "doc_id").select("x", "y").orderBy("x", "y").limit(max_train).toPandas()
+    return fit(np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(np.float64))
+
+
+def with_scores(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``score`` from 0 to 1 for every row; a column of that name is replaced."""
+    docs = docs.select([c for c in docs.columns if c != "score"])
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t.as_py()) for t in batch.column(at)], np.float64).reshape(-1, len(FEATURES)).astype(np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, "score"])
+
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     Null and empty texts get the score of an empty feature vector; repeated rows stay; without any
-    usable label every score is 0.5.  Only ``text`` is an input of a score.
+    usable label every score is 0.5.  Only the text is an input of a score.
     """
-    table = materialize(feature_table(docs, id_col, text_col), "features")
-    model = fit_on(table, labels, max_train)
+    model = train(docs, labels, max_train, id_col, text_col)
+    scored = with_scores(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    kind = table.schema["doc_id"].dataType.simpleString()
-    scored = table.mapInArrow(work, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of ``docs`` predicted good, with their own columns; a model without labels rejects nothing."""
+    return with_scores(docs.select("*"), train(docs, labels, max_train)).where("score >= 0.5").select(docs.columns)

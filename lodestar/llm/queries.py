@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_topk, hamming_index, html_text, jaccard, language, mixing, packing, quality, secrets
+from . import block_topk, hamming_index, html_text, jaccard, language, line_dedup, mixing, packing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_kept")
+
+
 def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, eos=2)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -54,7 +58,7 @@ def op10_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_bestfit_packing, op3_ngram_jaccard, op4_quality_gam, op5_secret_scan, op6_html_extraction,
+        op1_line_dedup, op2_bestfit_packing, op3_ngram_jaccard, op4_quality_gam, op5_secret_scan, op6_html_extraction,
         op7_language_crf, op8_poisson_mixing, op9_hamming_neighbours, op10_block_topk,
     )
 }
