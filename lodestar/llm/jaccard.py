@@ -295,12 +295,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
 
     rest = unsettled(buckets, found)
     if not rest.isEmpty():
-        near = rest.groupBy("item", "component").agg(F.min("bucket").alias("near"))
-        sizes = near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-        grouped = near.join(sizes, "near").select("item", "component", F.xxhash64("near", F.pmod(F.xxhash64("item"), F.col("groups"))).alias("group"))
+        # items of one component form groups of their own, which need not meet each other; single ones are grouped by their largest bucket
+        near = rest.groupBy("item", "component").agg(F.max(F.struct("n", "bucket")).alias("top")).select("item", "component", F.col("top.bucket").alias("near")).join(found.select(F.col("node").alias("item"), F.lit(True).alias("linked")), "item", "left")
+        near = near.select("item", "component", F.coalesce("linked", F.lit(False)).alias("linked"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("near")).alias("near"))
+        sizes = near.groupBy("near", "linked").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
+        grouped = near.join(sizes, ["near", "linked"]).select("item", "component", F.when(F.col("linked"), F.col("near")).alias("family"), F.xxhash64("near", "linked", F.pmod(F.xxhash64("item"), F.col("groups"))).alias("group"))
         grouped = materialize(grouped, "groups")
-        seen = rest.select("bucket", "item").join(grouped.select("item", "group"), "item").select("bucket", "group").distinct()
-        meet = seen.join(seen.withColumnRenamed("group", "other"), "bucket").where("group <= other").select("group", "other").distinct()
+        seen = rest.select("bucket", "item").join(grouped.select("item", "group", "family"), "item").select("bucket", "group", "family").distinct()
+        meet = seen.join(seen.select("bucket", F.col("group").alias("other"), F.col("family").alias("kin")), "bucket").where("group <= other and (family is null or kin is null or family <> kin)")
+        meet = meet.select("group", "other").distinct()
         meet = materialize(meet.withColumn("unit", F.xxhash64("group", "other")), "meetings")
         blocks = max(parts, meet.count() * GROUP // BLOCK_ROWS)
         as_group = meet.join(grouped, "group").select("unit", "item", "component", F.lit(0).alias("role"))

@@ -28,10 +28,10 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def unsettled(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """``bucket, item, component`` for buckets of over two items that span several components; written once.
+    """``bucket, n, item, component`` for buckets of over two items that span several components; written once.
 
     A bucket of two is settled: its only pair was compared in the round of hubs.
     """
     known = buckets.where("n > 2").join(components.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
     split = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
-    return materialize(known.join(split, "bucket").select("bucket", "item", "component"), "unsettled")
+    return materialize(known.join(split, "bucket").select("bucket", "n", "item", "component"), "unsettled")
