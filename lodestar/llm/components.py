@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = materialize(large, "large-star")
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        current = materialize(small.union(root.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
+        before, current = current, materialize(small.union(root.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
+        discard(before, large)
         forked = current.groupBy("hi").count().where("count > 1").select("hi")
         deeper = current.select(F.col("lo").alias("hi")).join(current.select("hi"), "hi", "left_semi")
         if forked.union(deeper).isEmpty():
