@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .linking import hub_pairs, shared_buckets, unsettled
-from .scratch import materialize
+from .scratch import discard, discard_since, materialize, written
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
@@ -259,11 +259,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mark = written()
     routed = materialize(route(docs, shingle, similarity, max(64, 4 * parts), kind), "routed")
-    rows = routed.where("n is not null").select("doc_id", "n", "set_id")
+    rows = materialize(routed.where("n is not null").select("doc_id", "n", "set_id"), "sets-of-documents")
     light = routed.where("shard is not null").select("shard", "entries").groupBy("shard").applyInArrow(shard_buckets, "bucket long, item long")
     heavy = routed.where("bucket is not null").select("bucket", F.col("set_id").alias("item"))
     buckets = shared_buckets(light.union(heavy))
+    discard(routed)  # the entries are by far the largest table
 
     items = buckets.select("item").distinct()
     firsts = rows.join(items, rows.set_id == items.item, "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
@@ -312,6 +314,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
         links = materialize(links.union(compare(second_round, sets, similarity)), "links-2")
         found = materialize(connected_components(links), "components-2")
 
+    discard_since(mark, spark, rows, found)
     own = rows.join(found, rows.set_id == found.node, "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("class"))
     least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return own.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

@@ -51,6 +51,19 @@ def discard(*tables: DataFrame) -> None:
             _delete(table.sparkSession, table.scratch_path)
 
 
+def written() -> int:
+    """A mark of what has been written so far, for ``discard_since``."""
+    return len(_WRITTEN)
+
+
+def discard_since(mark: int, spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete the tables written after ``mark`` but ``keep``, from which everything still to come is made."""
+    kept = {t.scratch_path for t in keep if hasattr(t, "scratch_path")}
+    for path in [p for p in _WRITTEN[mark:] if p not in kept]:
+        _WRITTEN.remove(path)
+        _delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table written so far; frames that still read them end there."""
     while _WRITTEN:
