@@ -280,3 +280,28 @@ def test_line_dedup_odd_and_empty(spark):
     assert sorted((r.n_lines, r.n_kept) for r in rows if r.doc_id == 4) == [(1, 0), (1, 1)]
     assert {r.doc_id: (r.text, r.n_kept) for r in rows if r.doc_id in (1, 2, 5)} == {1: (None, 0), 2: ("", 1), 5: ("\n\n", 3)}
     assert line_dedup.dedup_lines(empty_docs(spark)).count() == 0
+
+
+def test_line_similarity_is_the_exact_edit_distance(spark):
+    draw = random.Random(3)
+    rows = [("", ""), ("a", ""), ("a", "b"), ("abcde", "abcdX"), ("abcdefghij", "abXXefghij"), ("abcdefghij", "abXXXfghij"), ("abab" * 40, "abab" * 49)]
+    for n in [*range(1, 30), 90, 300, 1200]:
+        for share in (0.05, 0.2, 0.3):
+            a = [draw.choice("abcdé ") for _ in range(n)]
+            b = list(a)
+            for _ in range(max(1, int(n * share))):
+                at = draw.randrange(len(b) + 1)
+                b[at : at + draw.randrange(2)] = draw.choice(["", "x", "é"])
+            rows.append(("".join(a), "".join(b)))
+    pairs = spark.createDataFrame(rows, "a string, b string")
+    exact = F.levenshtein("a", "b") <= F.floor(0.2 * F.greatest(F.length("a"), F.length("b")) + 1e-9)
+    got = pairs.select(exact.alias("exact"), line_dedup._similar(F.col("a"), F.col("b")).alias("similar")).collect()
+    assert all(r.exact == r.similar for r in got)
+    assert {r.exact for r in got} == {True, False}
+
+
+def test_word_ends_lose_only_ascii_punctuation(spark):
+    words = ["plain", "(x)", "é!", "!é", "9,", "{a}", "~", "--", "don't", "\u007fa", "ß", "a ", "'", "A-", ""]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    got = [r[0] for r in frame.select(line_dedup._stripped("word")).collect()]
+    assert got == [w.strip(line_dedup.PUNCTUATION) for w in words]
