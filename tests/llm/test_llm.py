@@ -282,6 +282,15 @@ def test_line_dedup_odd_and_empty(spark):
     assert line_dedup.dedup_lines(empty_docs(spark)).count() == 0
 
 
+def test_long_lines_with_empty_words_are_one_item_each(spark):
+    passage = " ".join(f"{'- ' if i == 50 else ''}word{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, passage), (2, passage + "\nquite another line"), (3, passage)], "doc_id long, text string")
+    lines = line_dedup.fingerprints(docs.withColumnRenamed("doc_id", "row")).collect()
+    assert len(lines) == 4 and len({r.item for r in lines}) == 2
+    got = {r.doc_id: (r.text, r.n_lines, r.n_kept) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: (passage, 1, 1), 2: ("quite another line", 2, 1), 3: ("", 1, 0)}
+
+
 def test_line_similarity_is_the_exact_edit_distance(spark):
     draw = random.Random(3)
     rows = [("", ""), ("a", ""), ("a", "b"), ("abcde", "abcdX"), ("abcdefghij", "abXXefghij"), ("abcdefghij", "abXXXfghij"), ("abab" * 40, "abab" * 49)]
