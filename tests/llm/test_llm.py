@@ -291,6 +291,13 @@ def test_long_lines_with_empty_words_are_one_item_each(spark):
     assert got == {1: (passage, 1, 1), 2: ("quite another line", 2, 1), 3: ("", 1, 0)}
 
 
+def test_lines_that_differ_in_punctuation_only_are_one_item(spark):
+    docs = spark.createDataFrame([(1, "a, a b, c c; d"), (2, "A a b - c  c (d)"), (3, "a b c d")], "row long, text string")
+    item = {r.row: (r.item, r.sim) for r in line_dedup.fingerprints(docs).collect()}
+    assert item[1] == item[2]
+    assert item[1][1] == item[3][1] and item[1] != item[3]
+
+
 def test_line_similarity_is_the_exact_edit_distance(spark):
     draw = random.Random(3)
     rows = [("", ""), ("a", ""), ("a", "b"), ("abcde", "abcdX"), ("abcdefghij", "abXXefghij"), ("abcdefghij", "abXXXfghij"), ("abab" * 40, "abab" * 49)]
