@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_kept")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), wide=True).select("doc_id", "text", "n_lines", "n_kept")
 
 
 def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,6 +298,24 @@ def test_lines_that_differ_in_punctuation_only_are_one_item(spark):
     assert item[1][1] == item[3][1] and item[1] != item[3]
 
 
+def test_line_dedup_wide_reaches_lines_of_edit_similarity(spark):
+    draw = random.Random(9)
+    vocabulary = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(3, 9))) for _ in range(3000)]
+    lines, changed = [], []
+    for n in [3, 5, 8, 12, 20, 30, 40, 60, 150] * 8:
+        words = draw.choices(vocabulary, k=n)
+        lines.append(" ".join(words))
+        at = draw.randrange(n)
+        words[at] = draw.choice(vocabulary) if n >= 12 else words[at][:-1] + "z"  # a word, or a letter of a short line
+        changed.append(" ".join(words))
+    docs = spark.createDataFrame([(0, "\n".join(lines)), (1, "\n".join(changed))], "doc_id long, text string")
+    assert len({*lines, *changed}) == 144
+    wide = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(docs, wide=True).collect()}
+    narrow = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(docs).collect()}
+    assert wide[0] == narrow[0] == 72
+    assert wide[1] <= 4 and narrow[1] > 36  # by edit similarity alone, none of the second text stays
+
+
 def test_line_similarity_is_the_exact_edit_distance(spark):
     draw = random.Random(3)
     rows = [("", ""), ("a", ""), ("a", "b"), ("abcde", "abcdX"), ("abcdefghij", "abXXefghij"), ("abcdefghij", "abXXXfghij"), ("abab" * 40, "abab" * 49)]
