@@ -64,3 +64,10 @@ def test_bands_at_their_bounds(spark):
     frame = spark.createDataFrame(cases, "p double, q string, pre boolean, rev boolean, age int")
     got = [tuple(r[0]) for r in frame.select(impact.band(*[F.col(c) for c in ("p", "q", "pre", "rev", "age")])).collect()]
     assert got == [("high", "citations"), ("high", "venue"), ("medium", "citations"), ("medium", "floor"), (None, None), ("medium", "floor")]
+
+
+def test_round_robin_reaches_past_repeated_keys(spark):
+    rows = [(lane, 100 * n + i, 7) for n, lane in enumerate("ab") for i in range(20)]
+    rows += [(lane, 100 * n + 50 + i, 10 * n + i) for n, lane in enumerate("ab") for i in range(3)]
+    got = ranking.round_robin(spark.createDataFrame(rows, "lane string, place long, key long"), "lane", "place", "key", 5).orderBy("turn")
+    assert [tuple(r) for r in got.collect()] == [(7, 1), (0, 2), (10, 3), (1, 4), (11, 5)]
