@@ -19,6 +19,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this finds what [0-9a-f]+ of 16 and more finds
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Where a token that fits no encoding is cut, one after the other: '=' but padding, and what joins names and paths.
+_CUTS = [re.compile(c) for c in ("=+(?=[^=])", "/", "_", "-")]
 
 #: Level of each test of randomness; rate of false discoveries among a document's tokens; chance that
 #: ordinary text changes its class of characters from one place to the next.
@@ -79,6 +81,18 @@ def battery(token: str) -> float | None:
     return _binomial_tail(n - 1, changes, CHANGE)
 
 
+def testable(token: str, start: int = 0, cuts: list[re.Pattern[str]] = _CUTS) -> Iterator[tuple[int, str]]:
+    """``start, token``, or its parts of 20 or more characters if only those fit an encoding."""
+    if len(token) < 20:
+        return
+    if infer_encoding(token) is not None:
+        yield start, token
+    elif cuts:
+        edges = [(0, 0), *(m.span() for m in cuts[0].finditer(token)), (len(token), len(token))]
+        for (_, s), (e, _) in zip(edges, edges[1:], strict=False):
+            yield from testable(token[s:e], start + s, cuts[1:])
+
+
 def discoveries(found: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     """Weighted step-up control of false discoveries: a token's weight is its share of the tokens' lengths, up to 64."""
     if not found:
@@ -103,8 +117,10 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     taken = [(s, e) for _, s, e in spans]
     tried = []
     for m in _TOKEN.finditer(text):
-        if (s := m.start()) is not None and not any(a < m.end() and s < b for a, b in taken) and (p := battery(m[0])) is not None:
-            tried.append((s, m.end(), p))
+        for s, token in testable(m[0], m.start()):
+            e = s + len(token)
+            if not any(a < e and s < b for a, b in taken) and (p := battery(token)) is not None:
+                tried.append((s, e, p))
     spans += [("random", s, e) for s, e in discoveries(tried)]
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -316,6 +316,16 @@ def test_line_dedup_wide_reaches_lines_of_edit_similarity(spark):
     assert wide[1] <= 4 and narrow[1] > 36  # by edit similarity alone, none of the second text stays
 
 
+def test_random_keys_glued_to_a_name_or_path_are_found():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ7vT3mKd9"
+    for before in ("AWS_SECRET_ACCESS_KEY=", "=="):
+        text = f"set {before}{key} here"
+        assert ("random", 4 + len(before), 4 + len(before) + len(key)) in secrets.scan(text)
+    plain = "q7Zt2LmX9vB4kR8sW1nC6yH3dF5g"
+    assert ("random", 14, 14 + len(plain)) in secrets.scan(f"see /etc/my_x/{plain}/a+b here")
+    assert list(secrets.testable(key + "==")) == [(0, key + "==")]
+
+
 def test_line_similarity_is_the_exact_edit_distance(spark):
     draw = random.Random(3)
     rows = [("", ""), ("a", ""), ("a", "b"), ("abcde", "abcdX"), ("abcdefghij", "abXXefghij"), ("abcdefghij", "abXXXfghij"), ("abab" * 40, "abab" * 49)]
