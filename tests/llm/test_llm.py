@@ -326,6 +326,13 @@ def test_random_keys_glued_to_a_name_or_path_are_found():
     assert list(secrets.testable(key + "==")) == [(0, key + "==")]
 
 
+def test_tidy_line_strips_each_word(spark):
+    draw = random.Random(8)
+    lines = ["", " ", "--", "- a", "don't (x) -y--z-", "-" * 5000 + " a", *("".join(draw.choices("aBé-.'^]\\[ \t&", k=draw.randrange(1, 30))) for _ in range(400))]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "value string").select(line_dedup.tidy_line("value")).collect()]
+    assert got == [" ".join(w for w in (w.strip(line_dedup.PUNCTUATION) for w in x.lower().split(" ")) if w) for x in lines]
+
+
 def test_line_similarity_is_the_exact_edit_distance(spark):
     draw = random.Random(3)
     rows = [("", ""), ("a", ""), ("a", "b"), ("abcde", "abcdX"), ("abcdefghij", "abXXefghij"), ("abcdefghij", "abXXXfghij"), ("abab" * 40, "abab" * 49)]
