@@ -6,6 +6,12 @@ in at least one part.  Agreement in a part routes similar sets to one bucket; no
 shared passage or a frequent shingle alone, so such text makes no bucket.  In a bucket, sets are
 gathered into groups; a query set is held against a group's union of shingles first, and only groups
 whose union can reach the needed overlap are opened and compared set by set.
+
+Before that, each set is held against all others that share a bucket as if they were one group: its
+tokens that none of them has count against the overlap it needs, and most sets go here.  What stays is
+dealt into groups by a bucket of theirs, each group written once with its union of tokens.  Groups that
+share a bucket meet: first each with the most widely shared group of the bucket, then, where a bucket
+still spans several components, with the others.
 """
 
 from __future__ import annotations
@@ -15,11 +21,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .linking import hub_pairs, shared_buckets, unsettled
+from .linking import shared_buckets
 from .scratch import discard, discard_since, materialize, written
 
 SHINGLE = 5
@@ -29,13 +36,15 @@ GROWTH, SPARE, CUTS = 1.25, 0.08, 6
 #: Characters handled at once, routing entries held before they are written, and entries of one
 #: bucket in them beyond which they are written as rows.
 SLICE, FLUSH, HEAVY = 1 << 21, 1 << 20, 64
-#: Sets in a group, and rows that a block of comparisons is meant to hold.
-GROUP, BLOCK_ROWS = 128, 2000
+#: Sets and tokens in a group; tokens of the groups that one group meets at once; tokens in a shard.
+GROUP, GROUP_TOKENS, BLOCK_TOKENS, SHARD_TOKENS = 128, 1 << 18, 1 << 21, 1 << 22
 #: Ids up to this many are broadcast to pick texts; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
+#: A routing entry: the low five bytes of the bucket, whose shard is known, and the set.
+ENTRY, LOW = np.dtype([("b", "u1", 5), ("s", "<u8")]), np.uint64((1 << 40) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,50 +133,70 @@ def set_ids(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Ids and texts of a batch, some ``SLICE`` characters at a time."""
-    texts, lo, held = batch.column(1).to_pylist(), 0, 0
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Places and texts of a batch, some ``SLICE`` characters at a time; the text is the last column."""
+    texts, lo, held = batch.column(batch.num_columns - 1).to_pylist(), 0, 0
     for i, t in enumerate(texts):
         held += len(t or "")
         if held >= SLICE or i == len(texts) - 1:
-            yield batch.column(0).slice(lo, i + 1 - lo), texts[lo : i + 1]
+            yield lo, i + 1 - lo, texts[lo : i + 1]
             lo, held = i + 1, 0
 
 
+def _records(columns: dict[str, tuple[pa.DataType, pa.Array | None]], size: int) -> pa.RecordBatch:
+    """A batch of ``size`` rows; columns without values are null."""
+    return pa.RecordBatch.from_arrays([pa.nulls(size, t) if c is None else c for t, c in columns.values()], list(columns))
+
+
+def _shard_of(x: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each fingerprint; ascends with it."""
+    return ((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 def route(docs: DataFrame, width: int, similarity: tuple[int, int], shards: int, kind: str) -> DataFrame:
-    """One pass over the texts: a row for each document, and rows of packed routing entries for each shard."""
-    names = ["doc_id", "n", "set_id", "shard", "entries", "bucket"]
-    types = [None, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    """One pass over the texts: ``doc_id, digest, n, set_id`` of each row, and ``bucket, item`` of what shares a bucket.
+
+    ``docs`` has ``doc_id, digest, text``.  Routing entries cross the network once, packed by shard
+    (five bytes of the bucket, as its shard tells the rest, and the set), and are never written as rows:
+    a shard gives back only its buckets of two different sets or more.
+    """
+    names = {"shard": pa.int32(), "doc_id": None, "digest": pa.int64(), "n": pa.int64(), "set_id": pa.int64(), "bucket": pa.int64(), "entries": pa.binary()}
 
-    def emit(size: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, t)) for c, t in zip(names, types, strict=True)], names)
+    def emit(size: int, shard: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+        columns["shard"] = pa.array(shard, pa.int32())
+        return _records({c: (t, columns.get(c)) for c, t in names.items()}, size)
 
     def flush(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.concatenate(pairs, axis=1).T.copy().view([("b", "<u8"), ("s", "<u8")]).ravel())
         starts = np.flatnonzero(np.concatenate([[True], pairs["b"][1:] != pairs["b"][:-1]]))
-        place = np.arange(len(pairs)) - np.repeat(starts, np.diff([*starts, len(pairs)]))
-        size = np.repeat(np.diff([*starts, len(pairs)]), np.diff([*starts, len(pairs)]))
+        own = np.diff([*starts, len(pairs)])
+        place, size = np.arange(len(pairs)) - np.repeat(starts, own), np.repeat(own, own)
         heavy = (size > HEAVY) & (place > 1)  # two stay, so that the shard knows the bucket
         if heavy.any():
             rows = pairs[heavy]
-            yield emit(len(rows), bucket=pa.array(rows["b"].view(np.int64)), set_id=pa.array(np.ascontiguousarray(rows["s"]).view(np.int64)))
+            shard, low = _shard_of(rows["b"], shards), rows["b"] & LOW
+            bucket = ((shard.astype(np.uint64) << np.uint64(40)) | low).view(np.int64)
+            yield emit(len(rows), _shard_of(mix(rows["s"]), shards), bucket=pa.array(bucket), set_id=pa.array(np.ascontiguousarray(rows["s"]).view(np.int64)))
         pairs = pairs[~heavy]
-        shard = ((pairs["b"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)  # ascends with b
-        ends = np.searchsorted(shard, np.arange(shards + 1))
+        ends = np.searchsorted(_shard_of(pairs["b"], shards), np.arange(shards + 1))
         full = np.flatnonzero(np.diff(ends))
-        yield emit(len(full), shard=pa.array(full, pa.int32()), entries=pa.array([pairs[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()))
+        packed = np.empty(len(pairs), ENTRY)
+        packed["b"] = pairs["b"].copy().view(np.uint8).reshape(-1, 8)[:, :5]
+        packed["s"] = pairs["s"]
+        yield emit(len(full), full, entries=pa.array([packed[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router, held, count = Router(similarity), [], 0
         for batch in batches:
-            types[0] = batch.schema.field(0).type
-            for ids, texts in slices(batch):
+            names["doc_id"] = batch.schema.field(0).type
+            for lo, size, texts in slices(batch):
                 sets = shingle_sets(texts, width)
-                own = [set_ids(s) for s in sets]
-                yield emit(len(sets), doc_id=ids, n=pa.array([len(s) for s in sets], pa.int64()), set_id=pa.array(own, pa.int64()))
-                for s, i in zip(sets, own, strict=True):
+                own = np.array([set_ids(s) for s in sets], np.int64)
+                rows = {"doc_id": batch.column(0).slice(lo, size), "digest": batch.column(1).slice(lo, size), "n": pa.array([len(s) for s in sets], pa.int64()), "set_id": pa.array(own)}
+                yield emit(size, _shard_of(mix(own.view(np.uint64)), shards), **rows)
+                for s, i in zip(sets, own.view(np.uint64), strict=True):
                     if len(s) and len(e := router.entries(s)):
-                        held.append(np.stack([e, np.full(len(e), i, np.int64).view(np.uint64)]))
+                        held.append(np.stack([e, np.full(len(e), i, np.uint64)]))
                         count += len(e)
                 if count >= FLUSH:
                     yield from flush(held)
@@ -175,16 +204,116 @@ def route(docs: DataFrame, width: int, similarity: tuple[int, int], shards: int,
         if count:
             yield from flush(held)
 
-    return docs.mapInArrow(work, f"doc_id {kind}, n long, set_id long, shard int, entries binary, bucket long")
+    def shared(table: pa.Table) -> pa.Table:
+        entries = table.column("entries").drop_null().to_pylist()
+        rows = table.filter(pc.is_null(table.column("entries"))).select(["doc_id", "digest", "n", "set_id", "bucket"])
+        if not entries:
+            return rows
+        packed = np.frombuffer(b"".join(entries), ENTRY)
+        pairs = np.zeros(len(packed), [("b", "<u8"), ("s", "<u8")])
+        low = np.zeros((len(packed), 8), np.uint8)
+        low[:, :5] = packed["b"]
+        pairs["b"], pairs["s"] = low.view("<u8").ravel(), packed["s"]
+        pairs = np.unique(pairs)
+        same = pairs["b"][1:] == pairs["b"][:-1]
+        own = pairs[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        shard = np.uint64(table.column("shard")[0].as_py())
+        found = {"bucket": pa.array(((shard << np.uint64(40)) | own["b"]).view(np.int64)), "set_id": pa.array(np.ascontiguousarray(own["s"]).view(np.int64))}
+        return pa.concat_tables([rows, pa.Table.from_batches([_records({c: (rows.schema.field(c).type, found.get(c)) for c in rows.column_names}, len(own))])])
+
+    packed = docs.mapInArrow(work, f"shard int, doc_id {kind}, digest long, n long, set_id long, bucket long, entries binary")
+    return packed.groupBy("shard").applyInArrow(shared, f"doc_id {kind}, digest long, n long, set_id long, bucket long")
+
+
+def lonely_tokens(texts: DataFrame, width: int, shards: int) -> DataFrame:
+    """``item, lonely``: how many tokens of a set no other set of ``texts`` (one row for each set) has; sets without such tokens have no row.
+
+    Tokens cross the network in four bytes each, packed by shard.  Two tokens that agree in their shard
+    and those bytes count as one: what a set shares is never understated.
+    """
 
+    def flush(sets: list[np.ndarray], own: list[int]) -> pa.RecordBatch:
+        flat = np.concatenate(sets)
+        shard, of = _shard_of(flat, shards), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(shard, kind="stable")
+        shard, of, low = shard[order], of[order], (flat[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        ends, ids = np.searchsorted(shard, np.arange(shards + 1)), np.array(own, "<i8")
+        full, items, sizes, tokens = np.flatnonzero(np.diff(ends)), [], [], []
+        for i in full:
+            part = of[ends[i] : ends[i + 1]]
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            items.append(ids[part[starts]].tobytes())
+            sizes.append(np.diff([*starts, len(part)]).astype("<u4").tobytes())
+            tokens.append(low[ends[i] : ends[i + 1]].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in (items, sizes, tokens))], ["shard", "items", "sizes", "tokens"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own, count = [], [], 0
+        for batch in batches:
+            for _, _, some in slices(batch):
+                for s in shingle_sets(some, width):
+                    if len(s):
+                        held.append(s)
+                        own.append(set_ids(s))
+                        count += len(s)
+                if count >= FLUSH:
+                    yield flush(held, own)
+                    held, own, count = [], [], 0
+        if count:
+            yield flush(held, own)
 
-def shard_buckets(table: pa.Table) -> pa.Table:
-    """``bucket, item`` of one shard's entries, for buckets of two different sets or more."""
-    pairs = np.unique(np.frombuffer(b"".join(table.column("entries").to_pylist()), [("b", "<u8"), ("s", "<u8")]))
-    same = pairs["b"][1:] == pairs["b"][:-1]
-    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    own = pairs[keep]
-    return pa.table({"bucket": np.ascontiguousarray(own["b"]).view(np.int64), "item": np.ascontiguousarray(own["s"]).view(np.int64)})
+    def single(table: pa.Table) -> pa.Table:
+        joined = {c: b"".join(table.column(c).to_pylist()) for c in ("items", "sizes", "tokens")}
+        of = np.repeat(np.frombuffer(joined["items"], "<i8"), np.frombuffer(joined["sizes"], "<u4"))
+        _, first, n = np.unique(np.frombuffer(joined["tokens"], "<u4"), return_index=True, return_counts=True)
+        items, lonely = np.unique(of[first[n == 1]], return_counts=True)
+        return pa.table({"item": pa.array(items, pa.int64()), "lonely": pa.array(lonely, pa.int64())})
+
+    packed = texts.mapInArrow(spread, "shard int, items binary, sizes binary, tokens binary")
+    counts = packed.groupBy("shard").applyInArrow(single, "item long, lonely long")
+    return counts.groupBy("item").agg(F.sum("lonely").alias("lonely"))
+
+
+def token_groups(texts: DataFrame, width: int, placed: DataFrame) -> DataFrame:
+    """One row for each group of ``placed`` (``item, group``): its sets, smallest first, and the union of their tokens."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, some in slices(batch):
+                sets = shingle_sets(some, width)
+                yield pa.RecordBatch.from_arrays([pa.array([set_ids(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["item", "own"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        sets = dict(zip(table.column("item").to_pylist(), table.column("own").to_pylist(), strict=True))
+        items = sorted(sets, key=lambda i: (len(sets[i]), i))
+        flat = b"".join(sets[i] for i in items)
+        union = np.unique(np.frombuffer(flat, np.uint64))
+        one = {"group": table.column("group")[0].as_py(), "items": items, "ends": np.cumsum([len(sets[i]) // 8 for i in items]).tolist(), "tokens": flat, "union_tokens": union.tobytes()}
+        return pa.Table.from_pylist([one], pa.schema([("group", pa.int64()), ("items", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("tokens", pa.binary()), ("union_tokens", pa.binary())]))
+
+    made = texts.mapInArrow(tokens, "item long, own binary").join(placed, "item")
+    return made.groupBy("group").applyInArrow(gather, "group long, items array<long>, ends array<long>, tokens binary, union_tokens binary")
+
+
+class Group:
+    """A group of sets with its union of tokens and the least set in it."""
+
+    def __init__(self, items: list[int], ends: list[int], tokens: bytes, union: bytes, components: list[int] | None = None):
+        self.items, self.flat, self.union = np.array(items, np.int64), np.frombuffer(tokens, np.uint64), np.frombuffer(union, np.uint64)
+        self.starts = np.array([0, *ends[:-1]], np.int64)
+        self.sizes = np.diff([*self.starts, ends[-1]])
+        self.components = self.items if components is None else np.array(components, np.int64)
+
+    def sets(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """``item, component, set`` of each member."""
+        for item, component, lo, n in zip(self.items.tolist(), self.components.tolist(), self.starts.tolist(), self.sizes.tolist(), strict=True):
+            yield item, component, self.flat[lo : lo + n]
+
+    def overlaps(self, s: np.ndarray) -> np.ndarray:
+        """Tokens that each member has in common with ``s``."""
+        at = np.searchsorted(s, self.flat)
+        at[at == len(s)] = 0
+        return np.add.reduceat((s[at] == self.flat).astype(np.int64), self.starts)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -196,15 +325,31 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def open_groups(units: dict, similarity: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between queries and group members of different components, as a spanning forest of each unit.
+def linked_members(item: int, s: np.ndarray, group: Group, similarity: tuple[int, int]) -> list[int]:
+    """Members of a group whose similarity to the set ``s`` is p/q or more.
 
-    ``units`` maps a key to rows (item, component, role, set); role 0 are a group's members, 1 the queries.
+    The overlap with any member is at most that with the union of the group's tokens; where that is too
+    little for the least member that could do, the group stays closed.
     """
     p, q = similarity
+    a = len(s)
+    fits = (q * group.sizes >= p * a) & (q * a >= p * group.sizes)
+    if not a or not fits.any():
+        return []
+    if (p + q) * overlap(s, group.union) < p * (a + int(group.sizes[fits].min())):
+        return []
+    found = fits & ((p + q) * group.overlaps(s) >= p * (a + group.sizes))
+    return [i for i in group.items[found].tolist() if i != item]
+
+
+def open_groups(units: dict, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links of a spanning forest between query sets and group members, unit by unit.
+
+    ``units`` maps a key to ``(group, queries)``: a ``Group``, and those whose sets are held against it.
+    """
     links = []
-    for rows in units.values():
-        group, root = [r for r in rows if r[2] == 0], {}
+    for group, queries in units.values():
+        root: dict = {}
 
         def find(x: int, root: dict = root) -> int:
             while root.setdefault(x, x) != x:
@@ -212,123 +357,142 @@ def open_groups(units: dict, similarity: tuple[int, int]) -> list[tuple[int, int
                 x = root[x]
             return x
 
-        union = np.unique(np.concatenate([g[3] for g in group])) if len(group) > 1 else group[0][3] if group else np.zeros(0, np.uint64)
-        least = min((len(g[3]) for g in group), default=0)
-        for item, component, role, s in rows:
-            if role == 0 and len(group) == 1 or not len(s):
-                continue
-            a = len(s)
-            need = -(-p * (a + max(least, -(-p * a // q))) // (p + q))
-            if overlap(s, union) < need:
-                continue
-            for other, far, _, t in group:
-                b = len(t)
-                if other == item or far == component or q * b < p * a or q * a < p * b or find(far) == find(component):
+        known = dict(zip(group.items.tolist(), group.components.tolist(), strict=True))
+        there = set(known.values())
+        for query in queries:
+            for item, component, s in query.sets():
+                if all(find(c) == find(component) for c in there):
                     continue
-                if (p + q) * overlap(s, t) >= p * (a + b):
-                    links.append((item, other))
-                    root[find(component)] = find(far)
+                for other in linked_members(item, s, group, similarity):
+                    if find(known[other]) != find(component):
+                        links.append((item, other))
+                        root[find(known[other])] = find(component)
+                there = {find(c) for c in there}
     return links
 
 
-def compare(work: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links ``a, b`` found among ``block, unit, item, component, role``; a block is one task's portion."""
+def compare(meets: DataFrame, groups: DataFrame, similarity: tuple[int, int], least_blocks: int) -> DataFrame:
+    """Links ``a, b`` found where the groups of ``meets`` (``group, other``; both may be one) meet.
+
+    The sets of ``other`` are the queries.  Every group of ``groups`` also has ``components``, null where each set is its own.  A group is sent once for each ``BLOCK_TOKENS`` tokens of the
+    groups that it meets, which bounds a task's portion.
+    """
 
     def task(table: pa.Table) -> pa.Table:
         units: dict = {}
-        columns = [table.column(c).to_pylist() for c in ("unit", "item", "component", "role")]
-        tokens = table.column("tokens").combine_chunks()
-        tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
-        flat, ends = tokens.values.to_numpy().view(np.uint64), tokens.offsets.to_numpy()  # sorted as unsigned
-        for i, (unit, item, component, role) in enumerate(zip(*columns, strict=True)):
-            units.setdefault(unit, []).append((item, component, role, flat[ends[i] : ends[i + 1]]))
+        for row in sorted(table.to_pylist(), key=lambda r: r["role"]):
+            one = Group(row["items"], row["ends"], row["tokens"], row["union_tokens"] or b"", row["components"])
+            if row["role"] == 0:
+                units[row["unit"]] = (one, [])
+            else:
+                units[row["unit"]][1].append(one)
         links = open_groups(units, similarity)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return work.join(sets, "item").groupBy("block").applyInArrow(task, "a long, b long")
+    size = groups.select(F.col("group").alias("other"), F.element_at("ends", -1).alias("size"))
+    chunks = meets.join(size, "other").groupBy("group").agg(F.sum("size").alias("size"))
+    chunks = chunks.select("group", "size", F.ceil(F.col("size") / BLOCK_TOKENS).cast("int").alias("chunks"))
+    blocks = max(least_blocks, (chunks.agg(F.sum("size")).first()[0] or 0) // BLOCK_TOKENS)
+    unit = F.xxhash64("group", F.col("chunk").cast("long"))
+    queries = meets.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("other"), "chunks")).select(unit.alias("unit"), F.col("other").alias("group"), F.lit(1).alias("role"))
+    owners = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(unit.alias("unit"), "group", F.lit(0).alias("role"))
+    work = queries.union(owners).join(groups, "group").withColumn("union_tokens", F.when(F.col("role") == 0, F.col("union_tokens")))
+    return work.withColumn("block", F.pmod("unit", F.lit(blocks))).groupBy("block").applyInArrow(task, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: texts of similarity p/q or more share a component.
-
-    ``component_id`` is the smallest id in the component.  A null or wordless text has the empty set
-    and is its own component; repeated rows stay, in one component; a null id never names one, unless
-    all ids of the component are null.  Other columns, whatever their names, are not looked at.
-    """
+def jaccard_classes(docs: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """``doc_id, digest, n, class`` of each row of ``doc_id, digest, text``: sets linked by similarity p/q share a class, which is null for the empty set."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    p, q = similarity
+    kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     mark = written()
     routed = materialize(route(docs, shingle, similarity, max(64, 4 * parts), kind), "routed")
-    rows = materialize(routed.where("n is not null").select("doc_id", "n", "set_id"), "sets-of-documents")
-    light = routed.where("shard is not null").select("shard", "entries").groupBy("shard").applyInArrow(shard_buckets, "bucket long, item long")
-    heavy = routed.where("bucket is not null").select("bucket", F.col("set_id").alias("item"))
-    buckets = shared_buckets(light.union(heavy))
-    discard(routed)  # the entries are by far the largest table
-
+    rows = routed.where("n is not null").select("doc_id", "digest", "n", "set_id")
+    buckets = shared_buckets(routed.where("bucket is not null").select("bucket", F.col("set_id").alias("item")))
     items = buckets.select("item").distinct()
-    firsts = rows.join(items, rows.set_id == items.item, "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    firsts = materialize(firsts.where("doc_id is not null"), "firsts")
-    picked = docs.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts, "doc_id").select("set_id", "text")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in slices(batch):
-                sets = [(set_ids(s), s) for s in shingle_sets(texts, shingle)]
-                ends = np.cumsum([0, *(len(s) for _, s in sets)], dtype=np.int32)
-                flat = np.concatenate([s for _, s in sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["item", "tokens"])
-
-    # one row for each set, also where an id is shared by texts with different sets
-    made = picked.mapInArrow(tokens, "item long, tokens array<long>")
-    sets = materialize(made.dropDuplicates(["item"]) if firsts.count() != picked.count() else made, "sets")
-
-    pairs = materialize(hub_pairs(buckets), "hubs")
-    chunks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("chunks"))
-    blocks = max(parts, pairs.count() // BLOCK_ROWS)
-    chunked = pairs.join(chunks, "hub").select("hub", "item", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int").alias("chunk"))
-    members = chunks.select("hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    unit = F.xxhash64("hub", "chunk")
-    first_round = chunked.select(unit.alias("unit"), "item", F.lit(1).alias("role")).union(members.select(unit.alias("unit"), F.col("hub").alias("item"), F.lit(0).alias("role")))
-    first_round = first_round.select(F.pmod("unit", F.lit(blocks)).alias("block"), "unit", "item", F.col("item").alias("component"), "role")
-    links = materialize(compare(first_round, sets, similarity), "links-1")
+    # one row for each set that shares a bucket, if need be one without an id
+    firsts = rows.join(items, rows.set_id == items.item, "left_semi").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("row"), F.first("n").alias("n"))
+    firsts = materialize(firsts.select(F.col("set_id").alias("item"), "row.doc_id", "row.digest", "n"), "firsts")
+
+    def picked(wanted: DataFrame) -> DataFrame:
+        keys = wanted.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"))
+        keys = F.broadcast(keys) if wanted.count() <= BROADCAST_IDS else keys
+        return docs.join(keys, (F.col("digest") == F.col("own_digest")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi").select("text")
+
+    tokens = firsts.agg(F.sum("n")).first()[0] or 0
+    lonely = lonely_tokens(picked(firsts), shingle, max(16, tokens // SHARD_TOKENS))
+    able = firsts.join(lonely, "item", "left").where(q * (F.col("n") - F.coalesce("lonely", F.lit(0))) >= p * F.col("n")).select("item")
+    buckets = shared_buckets(buckets.join(materialize(able, "able"), "item", "left_semi"))
+
+    near = buckets.groupBy("item").agg(F.min_by("bucket", F.xxhash64("bucket")).alias("near")).join(firsts, "item")
+    chunks = near.groupBy("near").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_TOKENS)).alias("chunks"))
+    placed = near.join(chunks, "near").select("item", "doc_id", "digest", F.xxhash64("near", F.pmod(F.xxhash64("item"), "chunks")).alias("group"))
+    placed = materialize(placed, "placed")
+    groups = materialize(token_groups(picked(placed), shingle, placed.select("item", "group")), "groups")
+    alone = groups.withColumn("components", F.lit(None).cast("array<long>"))
+
+    seen = buckets.join(placed, "item").groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("members"))
+    spread = seen.groupBy("group").agg(F.sum("members").alias("spread"))
+    hubs = seen.join(spread, "group").groupBy("bucket").agg(F.max(F.struct("spread", "group")).alias("top")).select("bucket", F.col("top.group").alias("hub"))
+    first = seen.join(hubs, "bucket").select(F.col("hub").alias("group"), F.col("group").alias("other")).where("group <> other").distinct()
+    own = groups.where(F.size("items") > 1).select("group", F.col("group").alias("other"))
+    first = materialize(first.union(own), "meets-1")
+    links = materialize(compare(first, alone, similarity, parts), "links-1")
     found = materialize(connected_components(links), "components-1")
 
-    rest = unsettled(buckets, found)
-    if not rest.isEmpty():
-        # items of one component form groups of their own, which need not meet each other; single ones are grouped by their largest bucket
-        near = rest.groupBy("item", "component").agg(F.max(F.struct("n", "bucket")).alias("top")).select("item", "component", F.col("top.bucket").alias("near")).join(found.select(F.col("node").alias("item"), F.lit(True).alias("linked")), "item", "left")
-        near = near.select("item", "component", F.coalesce("linked", F.lit(False)).alias("linked"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("near")).alias("near"))
-        sizes = near.groupBy("near", "linked").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-        grouped = near.join(sizes, ["near", "linked"]).select("item", "component", F.when(F.col("linked"), F.col("near")).alias("family"), F.xxhash64("near", "linked", F.pmod(F.xxhash64("item"), F.col("groups"))).alias("group"))
-        grouped = materialize(grouped, "groups")
-        seen = rest.select("bucket", "item").join(grouped.select("item", "group", "family"), "item").select("bucket", "group", "family").distinct()
-        meet = seen.join(seen.select("bucket", F.col("group").alias("other"), F.col("family").alias("kin")), "bucket").where("group <= other and (family is null or kin is null or family <> kin)")
-        meet = meet.select("group", "other").distinct()
-        meet = materialize(meet.withColumn("unit", F.xxhash64("group", "other")), "meetings")
-        blocks = max(parts, meet.count() * GROUP // BLOCK_ROWS)
-        as_group = meet.join(grouped, "group").select("unit", "item", "component", F.lit(0).alias("role"))
-        as_query = meet.where("group <> other").select("unit", F.col("other").alias("group")).join(grouped, "group").select("unit", "item", "component", F.lit(1).alias("role"))
-        second_round = as_group.union(as_query).select(F.pmod("unit", F.lit(blocks)).alias("block"), "unit", "item", "component", "role")
-        links = materialize(links.union(compare(second_round, sets, similarity)), "links-2")
+    within = buckets.join(placed, "item").join(found.withColumnRenamed("node", "item"), "item", "left").withColumn("component", F.coalesce("component", "item"))
+    spans = within.groupBy("bucket", "group").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    split = spans.groupBy("bucket").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most and n > 1").select("bucket")
+    spans = materialize(spans.join(split, "bucket"), "spans")
+    if not spans.isEmpty():
+        theirs = spans.select("bucket", F.col("group").alias("other"), F.col("lo").alias("their_lo"), F.col("hi").alias("their_hi"))
+        meets = spans.join(theirs, "bucket").where("group < other and not (lo = hi and their_lo = their_hi and lo = their_lo)").select("group", "other").distinct()
+        done = first.select(F.least("group", "other").alias("group"), F.greatest("group", "other").alias("other"))
+        sets = groups.select("group", F.size("items").alias("sets"))
+        meets = meets.join(done, ["group", "other"], "left_anti").join(sets, "group").join(sets.select(F.col("group").alias("other"), F.col("sets").alias("their_sets")), "other")
+        smaller = F.col("sets") < F.col("their_sets")  # the larger group is sent once for many that it meets
+        meets = materialize(meets.select(F.when(smaller, F.col("other")).otherwise(F.col("group")).alias("group"), F.when(smaller, F.col("group")).otherwise(F.col("other")).alias("other")), "meets-2")
+        of = groups.select("group", F.posexplode("items").alias("place", "node")).join(found, "node", "left")
+        of = of.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("component", "node").alias("component")))).alias("c"))  # GROUP sets or so
+        linked = groups.join(of.select("group", F.col("c.component").alias("components")), "group")
+        links = materialize(links.union(compare(meets, linked, similarity, parts)), "links-2")
         found = materialize(connected_components(links), "components-2")
 
-    discard_since(mark, spark, rows, found)
-    own = rows.join(found, rows.set_id == found.node, "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("class"))
+    discard_since(mark, spark, routed, found)
+    own = rows.join(found, rows.set_id == found.node, "left")
+    return own.select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("class"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row: texts of similarity p/q or more share a component.
+
+    ``component_id`` is the smallest id in the component.  A null or wordless text has the empty set
+    and is its own component; repeated rows stay, in one component; a null id never names one, unless
+    all ids of the component are null, but links like any other.  Other columns, whatever their names, are not looked at.
+    """
+    own = jaccard_classes(_keyed(docs, id_col, text_col), shingle, similarity)
     least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return own.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of their component, once each.
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``: that of the smallest id, null ids last, ties by a hash of the text.
 
-    Rows without an id stay: none of them can name a component.
+    Of repeated rows any one stays.  Rows without words are linked with nothing and all stay.
     """
-    groups = materialize(jaccard_components(docs, shingle, similarity), "classes")
-    first = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "first-of-class")
-    size = first.count()
-    kept = docs.join(F.broadcast(first) if size <= BROADCAST_IDS else first, "doc_id", "left_semi")
-    if groups.where("doc_id = component_id").count() > size:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    classes = materialize(jaccard_classes(_keyed(docs, id_col, text_col), shingle, similarity), "classes")
+    first = classes.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("row"))
+    keys = first.select(F.col("row.doc_id").alias("own_id"), F.col("row.digest").alias("own_digest"), F.lit(False).alias("wordless"))
+    keys = materialize(keys.union(classes.where("n = 0").select("doc_id", "digest", F.lit(True)).distinct()), "first-of-class")
+    size = keys.count()
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"))
+    kept = nested.join(F.broadcast(keys) if size <= BROADCAST_IDS else keys, (F.col("digest") == F.col("own_digest")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+    repeated = classes.where("n > 0").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if not repeated.isEmpty():
+        kept = kept.where("not wordless").dropDuplicates(["doc_id", "digest"]).union(kept.where("wordless"))
+    return kept.select("row.*")
