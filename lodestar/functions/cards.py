@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The line forms of the card format.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 BLANK = r"(?U)^\s+|\s+$"
 KEY_LINE = r"(?s)^([A-Za-z][A-Za-z0-9_-]*):\s*(.*)$"

@@ -5,46 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.stored import stored
+
 MAX_PAGE = 500
-MAX_DEPTH = 50
 
 
-def ancestors(parents: DataFrame, start: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
-    """``node, ancestor`` of the parents' DAG, each pair once; a cycle ends at ``depth``.
+def ancestors(parents: DataFrame, start: DataFrame | None = None, prefix: str = "") -> DataFrame:
+    """``node, ancestor`` of the parents' DAG, each pair once; of ``start`` nodes only, and of ancestors with ``prefix`` only, if given.
 
-    One join a level, until a level adds nothing; levels are few and each is distinct before the next.
+    Only nodes that have children are closed level by level, which are few beside the leaves; the rest
+    is one join with that closure.  A level holds pairs that are new, so a cycle ends by itself and no depth is too deep.
     """
-    links = parents.select(F.col("child").alias("up"), F.col("parent").alias("next"))
-    level = parents.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
-    level = level if start is None else level.join(start, "node", "left_semi")
-    found = level
-    for _ in range(depth):
-        level = level.join(links, level.ancestor == links.up).select("node", F.col("next").alias("ancestor")).distinct()
-        if level.isEmpty():
-            break
-        found = found.union(level)
-    return found.distinct()
+    links = parents.select("child", "parent")
+    inner = stored(links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").distinct())
+    found = fresh = inner.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+    while not fresh.isEmpty():
+        further = fresh.join(inner.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
+        fresh = stored(further.join(found, ["node", "ancestor"], "left_anti"))
+        found = found.union(fresh)
+    own = links if start is None else links.join(start.select(F.col("node").alias("child")), "child", "left_semi")
+    wanted = F.startswith("ancestor", F.lit(prefix))
+    above = own.join(found.where(wanted).withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "ancestor")
+    return own.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where(wanted).union(above).distinct()
 
 
 def domain_closure(parents: DataFrame) -> DataFrame:
     """``node, domain``: every domain above a node, and a domain itself."""
-    up = ancestors(parents).where(F.startswith("ancestor", F.lit("domain:"))).select("node", F.col("ancestor").alias("domain"))
+    up = ancestors(parents, prefix="domain:").withColumnRenamed("ancestor", "domain")
     own = parents.where(F.startswith("parent", F.lit("domain:"))).select(F.col("parent").alias("node"), F.col("parent").alias("domain"))
     return up.union(own).distinct()
 
 
+def sides(attached: DataFrame, closure: DataFrame, sample: int = 3) -> DataFrame:
+    """``concept, domain, n, first``: how many nodes of a domain attach to a concept, and the first ``sample`` of them.
+
+    ``attached`` has ``node, concept``.  Places are numbered in the partitioning that the counts then use.
+    """
+    own = attached.select("node", "concept").distinct().join(closure, "node")
+    placed = own.withColumn("r", F.row_number().over(Window.partitionBy("concept", "domain").orderBy("node")))
+    first = F.array_sort(F.collect_list(F.when(F.col("r") <= sample, F.col("node"))))  # ``sample`` nodes at most
+    return placed.groupBy("concept", "domain").agg(F.count(F.lit(1)).alias("n"), F.array_join(first, "|").alias("first"))
+
+
 def shared_concepts(edges: DataFrame, closure: DataFrame, sample: int = 3) -> DataFrame:
     """``a, c, concept, n_a, n_c, first_a``: concepts that nodes of two domains attach to, with counts and a sample of side a.
 
     Attachments are counted for each concept and domain before domains are paired, so the pairing sees
     one row for each concept and domain, however many nodes attach.
     """
-    attached = edges.select(F.col("src").alias("node"), F.col("dst").alias("concept")).distinct().join(closure, "node")
-    sides = attached.groupBy("concept", "domain").agg(F.count(F.lit(1)).alias("n"))
-    ranked = attached.withColumn("r", F.row_number().over(Window.partitionBy("concept", "domain").orderBy("node"))).where(F.col("r") <= sample)
-    heads = ranked.groupBy("concept", "domain").agg(F.array_join(F.array_sort(F.collect_list("node")), "|").alias("first"))
-    left = sides.join(heads, ["concept", "domain"]).select("concept", F.col("domain").alias("a"), F.col("n").alias("n_a"), F.col("first").alias("first_a"))
-    right = sides.select("concept", F.col("domain").alias("c"), F.col("n").alias("n_c"))
+    both = sides(edges.select(F.col("src").alias("node"), F.col("dst").alias("concept")), closure, sample)
+    left = both.select("concept", F.col("domain").alias("a"), F.col("n").alias("n_a"), F.col("first").alias("first_a"))
+    right = both.select("concept", F.col("domain").alias("c"), F.col("n").alias("n_c"))
     return left.join(right, "concept").where("a < c").select("a", "c", "concept", "n_a", "n_c", "first_a")
 
 

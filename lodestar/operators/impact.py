@@ -12,12 +12,13 @@ YOUNG_YEARS = 3
 def band(percentile: Column, quartile: Column, preprint: Column, reviewed: Column, age: Column) -> Column:
     """``band, channel``: the higher of the citation and venue bands, citations on a tie; null where neither is known.
 
-    Percentiles are 0 to 100.  A preprint has no venue band; reviewed work of under three years is at least medium.
+    Percentiles are 0 to 100.  A preprint has no venue band; reviewed work of zero to under three years that is no preprint is at least medium.
     """
     cited = F.when(percentile >= HIGH, 3).when(percentile >= MEDIUM, 2).when(percentile.isNotNull(), 1)
     venue = F.when(~F.coalesce(preprint, F.lit(False)), F.when(quartile == "Q1", 3).when(quartile == "Q2", 2).when(quartile.isin("Q3", "Q4"), 1))
     best = F.greatest(cited, venue)
-    floor = F.coalesce(reviewed, F.lit(False)) & (age < YOUNG_YEARS) & (F.coalesce(best, F.lit(0)) < 2)
+    young = F.coalesce((age >= 0) & (age < YOUNG_YEARS), F.lit(False))
+    floor = F.coalesce(reviewed, F.lit(False)) & ~F.coalesce(preprint, F.lit(False)) & young & (F.coalesce(best, F.lit(0)) < 2)
     name = lambda c: F.when(c == 3, "high").when(c == 2, "medium").when(c == 1, "low")
     channel = F.when(floor, "floor").when(best.isNull(), F.lit(None)).when(F.coalesce(cited, F.lit(0)) >= F.coalesce(venue, F.lit(0)), "citations").otherwise("venue")
     return F.struct(F.when(floor, "medium").otherwise(name(best)).alias("band"), channel.alias("channel"))
@@ -27,3 +28,51 @@ def delta_report(recorded: DataFrame, fresh: DataFrame, key: str, value: str) ->
     """``key, old, new, delta`` where both know the item; nulls where a figure is no number."""
     both = recorded.select(key, F.col(value).alias("old")).join(fresh.select(key, F.col(value).alias("new")), key)
     return both.withColumn("delta", F.col("new") - F.col("old"))
+
+
+def bands_by_category(snapshots: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """``work, category, band, channel, coarse``: one verdict for each category, never their highest.
+
+    ``snapshots`` has ``work, venue, categories, percentile, preprint, reviewed, age``, ``quartiles`` ``venue, category,
+    quartile`` with venues in lower case.  A work without categories is ``(uncategorized)``; unknown stays unknown.
+    """
+    named = F.when(F.size("categories") > 0, F.col("categories")).otherwise(F.array(F.lit("(uncategorized)")))
+    each = snapshots.withColumn("category", F.explode(named)).withColumn("place", F.lower("venue"))
+    told = each.join(quartiles.select(F.col("venue").alias("place"), "category", "quartile"), ["place", "category"], "left")
+    out = told.withColumn("x", band(F.col("percentile"), F.col("quartile"), F.col("preprint"), F.col("reviewed"), F.col("age")))
+    name, channel = F.coalesce("x.band", F.lit("unknown")), F.coalesce("x.channel", F.lit("none"))
+    return out.select("work", "category", name.alias("band"), channel.alias("channel"), (channel == "venue").alias("coarse"))
+
+
+def refresh_buckets(works: DataFrame, records: DataFrame) -> DataFrame:
+    """``work, bucket``: updated where a record answers to the work's ``ref``, no_data without a ref or a record."""
+    found = works.join(records.select(F.col("ref").alias("answered"), F.lit(True).alias("known")), F.col("ref") == F.col("answered"), "left")
+    return found.select("work", F.when(F.col("ref").isNull(), "no_id").when(F.col("known"), "updated").otherwise("no_data").alias("bucket"))
+
+
+def citations_report(cards: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``work, recorded, fetched, delta`` of works whose snapshot knows citations; the card's text may carry a date after its number, and ``delta`` is n/a where there is none."""
+    first = F.coalesce(F.element_at(F.split(F.trim("citations"), r"\s+"), 1), F.lit("?"))
+    both = cards.select("work", F.when(first == "", "?").otherwise(first).alias("recorded")).join(snapshots.where("citations is not null").select("work", F.col("citations").alias("fetched")), "work")
+    return both.withColumn("delta", F.coalesce((F.col("fetched") - F.col("recorded").try_cast("long")).cast("string"), F.lit("n/a")))
+
+
+def agreement(cards: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``work, legacy, bands, agrees``: the band on a card against those of its categories; ``bands`` is null for a work without a snapshot."""
+    each = verdicts.groupBy("work").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # four bands at most
+    return cards.join(each, "work", "left").select("work", "legacy", F.array_join("bands", "; ").alias("bands"), F.array_contains("bands", F.col("legacy")).alias("agrees"))
+
+
+def coverage(agreed: DataFrame) -> DataFrame:
+    """``works, covered, agreeing`` over ``agreement``."""
+    return agreed.agg(F.count(F.lit(1)).alias("works"), F.count("bands").alias("covered"), F.count(F.when(F.col("agrees"), 1)).alias("agreeing"))
+
+
+def attention_band(factor: Column, citations: Column, age: Column) -> Column:
+    """The higher of the bands by impact factor and by citations for the age in years."""
+    by_factor = F.when(factor >= 10, 3).when(factor >= 3, 2).otherwise(1)
+    high = F.when(age < 1, 25).when(age <= 5, 50).otherwise(100)
+    medium = F.when(age < 1, 10).otherwise(20)
+    by_citations = F.when(citations >= high, 3).when(citations >= medium, 2).otherwise(1)
+    best = F.greatest(by_factor, by_citations)
+    return F.when(best == 3, "high").when(best == 2, "medium").otherwise("low")

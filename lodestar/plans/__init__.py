@@ -1 +1,6 @@
-"""Registered queries over the relational tables, with SQL that says the same."""
+"""The catalogue: importing it registers every query."""
+
+from lodestar.plans import catalog, changes, records, retrieval
+from lodestar.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "catalog", "changes", "records", "retrieval"]

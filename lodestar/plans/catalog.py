@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import candidate_key, clean_doi, normal_title, terms
 from lodestar.operators import change, graph, identity, impact, ranking
+from lodestar.plans.registry import query
 from lodestar.sources.star import Star
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 # The graph of lodestar.sources.star in SQL.
 PARENTS = """parents AS (
   SELECT 'concept:' || n_name AS child, 'domain:' || r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -41,16 +36,6 @@ CLOSURE = """reach AS (SELECT child AS node, parent AS ancestor FROM parents UNI
 closure AS (SELECT DISTINCT node, ancestor AS domain FROM reach WHERE ancestor LIKE 'domain:%' UNION SELECT parent, parent FROM parents WHERE parent LIKE 'domain:%')"""
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 @query(f"WITH RECURSIVE {PARENTS}, {CLOSURE} SELECT node, domain FROM closure")
 def g1_domain_closure(spark: SparkSession, d: str) -> DataFrame:
     return graph.domain_closure(Star(spark, d).parents())
@@ -247,14 +232,14 @@ def t1_update_state(spark: SparkSession, d: str) -> DataFrame:
     return change.update_state(Star(spark, d).table("events"), ["user_id"], ["ts", "event_id"], "event_type <> 'purchase'", "event_type = 'purchase'")
 
 
-@query("""WITH p AS (SELECT p_partkey, 100 * percent_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS c, 'Q' || (1 + p_size % 4) AS q, p_size % 10 = 0 AS pre, p_size % 3 = 0 AS rev, p_size % 6 AS age FROM part),
+@query("""WITH p AS (SELECT p_partkey, 100 * percent_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS c, 'Q' || (1 + p_size % 4) AS q, p_size % 10 = 0 AS pre, p_size % 3 = 0 AS rev, p_size % 6 - 1 AS age FROM part),
 b AS (SELECT *, CASE WHEN c >= 90 THEN 3 WHEN c >= 50 THEN 2 ELSE 1 END AS cb, CASE WHEN pre THEN NULL WHEN q = 'Q1' THEN 3 WHEN q = 'Q2' THEN 2 ELSE 1 END AS vb FROM p),
-g AS (SELECT *, greatest(cb, coalesce(vb, 0)) AS best, rev AND age < 3 AND greatest(cb, coalesce(vb, 0)) < 2 AS floored FROM b)
+g AS (SELECT *, greatest(cb, coalesce(vb, 0)) AS best, rev AND NOT pre AND age >= 0 AND age < 3 AND greatest(cb, coalesce(vb, 0)) < 2 AS floored FROM b)
 SELECT p_partkey, CASE WHEN floored THEN 'medium' WHEN best = 3 THEN 'high' WHEN best = 2 THEN 'medium' ELSE 'low' END AS band, CASE WHEN floored THEN 'floor' WHEN cb >= coalesce(vb, 0) THEN 'citations' ELSE 'venue' END AS channel FROM g""")
 def a12_bands(spark: SparkSession, d: str) -> DataFrame:
     part = Star(spark, d).table("part").withColumn("c", 100 * F.percent_rank().over(Window.partitionBy("p_brand").orderBy("p_retailprice")))
     quartile = F.concat(F.lit("Q"), (1 + F.col("p_size") % 4).cast("string"))
-    out = impact.band(F.col("c"), quartile, F.col("p_size") % 10 == 0, F.col("p_size") % 3 == 0, F.col("p_size") % 6)
+    out = impact.band(F.col("c"), quartile, F.col("p_size") % 10 == 0, F.col("p_size") % 3 == 0, F.col("p_size") % 6 - 1)
     return part.select("p_partkey", out.alias("x")).select("p_partkey", "x.band", "x.channel")
 
 
@@ -264,23 +249,3 @@ def k7_delta_report(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
     fresh = star.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return impact.delta_report(star.table("orders").select(F.col("o_orderkey").alias("k"), F.lit(4).cast("long").alias("n")), fresh, "k", "n")
-
-
-@query("SELECT n_nationkey, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS fingerprint FROM nation")
-def k2_fingerprint_rows(spark: SparkSession, d: str) -> DataFrame:
-    return Star(spark, d).table("nation").select("n_nationkey", F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("fingerprint"))
-
-
-@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
-def k12_quote_in_source(spark: SparkSession, d: str) -> DataFrame:
-    """Passages are found by their first three words, then compared whole; no document meets every passage."""
-    star = Star(spark, d)
-    head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 3), " ")
-    quotes = star.table("benchmark").where(F.length("text") > 0).select("item_id", F.col("text").alias("quote"), head("text").alias("head"))
-    docs = star.table("documents").select("doc_id", "text", F.split("text", " ").alias("w"))
-    starts = docs.select("doc_id", F.explode(F.expr("filter(transform(w, (x, i) -> concat_ws(' ', x, get(w, i + 1), get(w, i + 2))), (x, i) -> i <= size(w) - 3)")).alias("head")).distinct()
-    long = quotes.where(F.size(F.split("quote", " ")) > 3)
-    # a passage may start inside a word of the document, so the join is on the second and third words
-    inner = F.array_join(F.slice(F.split(F.col("head"), " "), 2, 2), " ")
-    near = starts.select("doc_id", inner.alias("key")).distinct().join(long.select("item_id", "quote", inner.alias("key")), "key")
-    return near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")

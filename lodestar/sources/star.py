@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Line items of at least this quantity tie a customer or supplier to a part.
 MANY = 45
+#: Orders of at least this price are transfers between nations.
+LARGE = 490_000
+AXES = ("pattern", "function", "failure-mode")
 
 
 def _id(kind: str, *parts: Column | str) -> Column:
@@ -74,3 +77,50 @@ class Star:
             tags.select(F.lit("tag:pattern"), _id("work:customer-", "o_custkey"), _id("concept:part-", "l_partkey")).distinct(),
             many.select(F.lit("concerns"), _id("gap:supplier-", "l_suppkey"), _id("concept:part-", "l_partkey")).distinct(),
         ])
+
+    def axis(self) -> Column:
+        """The axis of a part as a concept, by its size."""
+        return F.element_at(F.array(*map(F.lit, AXES)), (F.col("p_size") % 3 + 1).cast("int"))
+
+    def evidence_nodes(self) -> DataFrame:
+        """``id, kind, label, axis, text`` of domains, concepts, works, gaps, claims and transfers; ``text`` is what a search looks at."""
+        t, none = self.table, F.lit(None).cast("string")
+        large = t("orders").where(F.col("o_totalprice") >= LARGE)
+        nodes = reduce(DataFrame.union, [
+            t("region").select(_id("domain:", "r_name").alias("id"), F.lit("domain").alias("kind"), F.col("r_name").alias("label"), none.alias("axis")),
+            t("nation").select(_id("concept:", "n_name"), F.lit("concept"), F.col("n_name"), F.lit("task")),
+            t("part").select(_id("concept:part-", "p_partkey"), F.lit("concept"), F.col("p_name"), self.axis()),
+            t("customer").select(_id("work:customer-", "c_custkey"), F.lit("work"), F.concat_ws(" ", "c_name", "c_mktsegment"), none),
+            t("supplier").select(_id("gap:supplier-", "s_suppkey"), F.lit("gap"), F.col("s_name"), none),
+            t("orders").select(self._claim(), F.lit("claim"), F.concat(F.lit("C"), F.col("o_orderkey").cast("string"), F.lit(": "), F.col("o_orderpriority")), none),
+            large.select(_id("transfer:order-", "o_orderkey"), F.lit("transfer"), _id("order ", "o_orderkey"), none),
+        ])
+        return nodes.withColumn("text", F.lower(F.concat_ws(" ", "label", "id", "axis")))
+
+    def _claim(self) -> Column:
+        return F.concat(_id("claim:customer-", "o_custkey"), F.lit("#C"), F.col("o_orderkey").cast("string"))
+
+    def evidence_parents(self) -> DataFrame:
+        """``child, parent``, with each claim under its work."""
+        return self.parents().union(self.table("orders").select(self._claim(), _id("work:customer-", "o_custkey")))
+
+    def evidence_edges(self) -> DataFrame:
+        """``kind, src, dst``, each once: claims, tags by the part's axis, concerns, what claims bind, and ends of transfers."""
+        t = self.table
+        many = t("lineitem").where(F.col("l_quantity") >= MANY).select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+        sold = many.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        tagged = sold.join(t("part").select("p_partkey", self.axis().alias("axis")), F.col("l_partkey") == F.col("p_partkey"))
+        nation = t("nation").select("n_nationkey", _id("concept:", "n_name").alias("place"))
+        large = t("orders").where(F.col("o_totalprice") >= LARGE)
+        buyers = large.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        sellers = t("lineitem").select("l_orderkey", "l_suppkey").join(large, F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        sellers = sellers.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        kind = F.when(F.col("o_orderstatus") == "F", "retracted_claims").otherwise("claims")
+        return reduce(DataFrame.union, [
+            t("orders").select(kind.alias("kind"), _id("work:customer-", "o_custkey").alias("src"), self._claim().alias("dst")),
+            tagged.select(F.concat(F.lit("tag:"), F.col("axis")), _id("work:customer-", "o_custkey"), _id("concept:part-", "l_partkey")).distinct(),
+            many.select(F.lit("concerns"), _id("gap:supplier-", "l_suppkey"), _id("concept:part-", "l_partkey")).distinct(),
+            sold.where("l_returnflag = 'A'").select(F.lit("binds"), self._claim(), _id("concept:part-", "l_partkey")).distinct(),
+            buyers.select(F.lit("transfer-from"), _id("transfer:order-", "o_orderkey"), F.col("place")).distinct(),
+            sellers.select(F.lit("transfer-to"), _id("transfer:order-", "o_orderkey"), F.col("place")).distinct(),
+        ])

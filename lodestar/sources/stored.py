@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder of ``spark.checkpoint.dir``; none where it is unset in a local session, an error on a cluster."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not told and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return told.rstrip("/") if told else None
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A checkpoint of ``df`` in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset in a local session."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(told or tempfile.mkdtemp(prefix="lodestar-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="lodestar-"))
     return df.checkpoint()

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lodestar.plans import catalog
+from lodestar import plans
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,9 +18,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_same_as_sql(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, FOLDER).toPandas(), duck.sql(catalog.SQL[name]).df()
+    got, want = plans.QUERIES[name](spark, FOLDER).toPandas(), duck.sql(plans.SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     rows = lambda f: sorted(map(str, f[columns].astype(object).where(f[columns].notna(), None).values.tolist()))
