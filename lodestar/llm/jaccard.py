@@ -186,14 +186,15 @@ def route(docs: DataFrame, width: int, similarity: tuple[int, int], shards: int,
         yield emit(len(full), full, entries=pa.array([packed[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, held, count = Router(similarity), [], 0
+        router, held, count, seen = Router(similarity), [], 0, 0
         for batch in batches:
             names["doc_id"] = batch.schema.field(0).type
             for lo, size, texts in slices(batch):
                 sets = shingle_sets(texts, width)
                 own = np.array([set_ids(s) for s in sets], np.int64)
                 rows = {"doc_id": batch.column(0).slice(lo, size), "digest": batch.column(1).slice(lo, size), "n": pa.array([len(s) for s in sets], pa.int64()), "set_id": pa.array(own)}
-                yield emit(size, _shard_of(mix(own.view(np.uint64)), shards), **rows)
+                yield emit(size, (np.arange(seen, seen + size) * 7919) % shards, **rows)  # any shard: equal sets must not meet
+                seen += size
                 for s, i in zip(sets, own.view(np.uint64), strict=True):
                     if len(s) and len(e := router.entries(s)):
                         held.append(np.stack([e, np.full(len(e), i, np.uint64)]))
@@ -485,6 +486,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int,
 
     Of repeated rows any one stays.  Rows without words are linked with nothing and all stay.
     """
+    mark = written()
     classes = materialize(jaccard_classes(_keyed(docs, id_col, text_col), shingle, similarity), "classes")
     first = classes.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("row"))
     keys = first.select(F.col("row.doc_id").alias("own_id"), F.col("row.digest").alias("own_digest"), F.lit(False).alias("wordless"))
@@ -493,6 +495,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int,
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"))
     kept = nested.join(F.broadcast(keys) if size <= BROADCAST_IDS else keys, (F.col("digest") == F.col("own_digest")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     repeated = classes.where("n > 0").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    if not repeated.isEmpty():
+    again = not repeated.isEmpty()
+    discard_since(mark, docs.sparkSession, keys)
+    if again:
         kept = kept.where("not wordless").dropDuplicates(["doc_id", "digest"]).union(kept.where("wordless"))
     return kept.select("row.*")
