@@ -20,7 +20,7 @@ from .quality import held_out
 
 #: Documents learnt from at most (those with the smallest hashes of their ids), and windows of words drawn from them.
 MAX_DOCS, MAX_WINDOWS = 1500, 6000
-#: Words of a line that one chain spans; longer lines are cut into several chains, none is left out.
+#: Words of a line that one chain spans; longer lines are cut into several chains, none is left out, and no transition crosses a cut.
 WINDOW = 64
 EPOCHS, BATCH, STEP, DECAY, SWITCHED = 3, 256, 0.4, 1e-4, 0.3
 #: Characters labelled at once, and words whose scores are remembered.
@@ -40,7 +40,7 @@ def word_features(w: str) -> list[str]:
 def windows_of(text: str) -> Iterator[list[str]]:
     """The words of each line, ``WINDOW`` at a time."""
     for line in text.lower().split("\n"):
-        words = _WORD.findall(line)
+        words = [w for w in _WORD.findall(line) if w.isalpha() or any(map(str.isalpha, w))]  # the pattern also takes numerals like a half
         for i in range(0, len(words), WINDOW):
             yield words[i : i + WINDOW]
 

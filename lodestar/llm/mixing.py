@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A table of rates up to this many sources is broadcast; a longer one is joined by shuffling.
-BROADCAST_SOURCES = 10_000
+#: Distributions of up to this many steps in all are broadcast; longer ones are joined by shuffling.
+BROADCAST_STEPS = 1_000_000
 #: Without weights, a source weighs its document count to this power.
 POWER = 0.7
 SEED = "mix-1"
@@ -36,31 +36,41 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, total: int |
     return weighed.join(F.broadcast(sums)).select("source", "n", (share * wanted / F.col("n")).alias("rate"))  # `sums` is one row
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until far beyond the mean; terms in logarithms, so any rate works."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    step = lambda acc, k: F.struct((acc["term"] + F.log(rate) - F.log(k.cast("double"))).alias("term"), (acc["all"] + F.exp(acc["term"] + F.log(rate) - F.log(k.cast("double")))).alias("all"), F.concat(acc["cdf"], F.array(acc["all"] + F.exp(acc["term"] + F.log(rate) - F.log(k.cast("double"))))).alias("cdf"))
-    start = F.struct((-rate).alias("term"), F.exp(-rate).alias("all"), F.array(F.exp(-rate)).alias("cdf"))
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]).otherwise(F.array(F.lit(1.0)))
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """``source, cdf``: P(X <= k) for k = 0, 1, ... until far beyond the mean; terms in logarithms, so any rate works.
+
+    A source has as many rows as its rate needs, which running sums turn into its distribution.
+    """
+    last = F.when(F.col("rate") > 0, F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30)).otherwise(0).cast("int")
+    order = Window.partitionBy("source").orderBy("k")
+    steps = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    step = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log("rate") - F.log(F.col("k").cast("double")))
+    terms = steps.withColumn("term", F.exp(F.sum(step).over(order)))
+    summed = terms.select("source", "k", F.sum("term").over(order).alias("c"))
+    return summed.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))  # one source's steps
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, power: float = POWER, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, power: float = POWER, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``copy`` (from 1) and ``shuffle_key``, in the global order of ``shuffle_key``.
 
     Each document's number of copies inverts the Poisson distribution of its source's rate at a
-    uniform number hashed from the seed and the id, so a retried task repeats its choice.  A null
-    source is a source of its own; repeated rows get the same number of copies; rows of a source of
-    rate 0 have none; an empty table gives an empty result.  Columns of ``docs`` called ``copy`` or
-    ``shuffle_key`` are replaced.
+    uniform number hashed from the seed and the id (a null id: its text), so a retried task repeats its
+    choice.  A null source is a source of its own; repeated rows get the same number of copies; rows of a
+    source of rate 0 have none; an empty table gives an empty result.  Columns of ``docs`` called ``copy``
+    or ``shuffle_key`` are replaced, no others.
     """
-    docs = docs.select([c for c in docs.columns if c not in ("copy", "shuffle_key")])
-    rates = source_rates(docs, weights, total, power, source_col).select(F.col("source").alias("mix_source"), poisson_cdf(F.col("rate")).alias("mix_cdf"))
-    small = rates.count() <= BROADCAST_SOURCES
-    chance = hashed_bits(13, F.lit(seed), id_col) / F.lit(float(2**52))
-    drawn = docs.withColumn("mix_u", chance).join(F.broadcast(rates) if small else rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    counted = drawn.withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u"))))
-    copies = counted.where("mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-    keyed = copies.withColumn("shuffle_key", hashed_bits(15, F.lit(seed), id_col, "copy", F.lit("order")))
+    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    own_text = F.col(f"`{text_col}`").cast("string") if text_col in docs.columns else F.lit(None).cast("string")
+    id_text = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(own_text, F.lit("")))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), F.col(f"`{source_col}`").alias("own_source"), id_text.alias("id_text"))
+    steps = poisson_steps(source_rates(docs, weights, total, power, source_col))
+    small = (steps.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_STEPS
+    drawn = rows.withColumn("u", hashed_bits(13, F.lit(seed), "id_text") / F.lit(float(2**52)))
+    drawn = drawn.join(F.broadcast(steps) if small else steps, F.col("own_source").eqNullSafe(F.col("source")))
+    counted = drawn.select("own", "id_text", F.size(F.filter("cdf", lambda c: c <= F.col("u"))).alias("n"))
+    copies = counted.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    keyed = copies.withColumn("shuffle_key", hashed_bits(15, F.lit(seed), "id_text", "copy", F.lit("order")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.least(F.floor(F.col("shuffle_key") / F.lit(float(2**60)) * parts), F.lit(parts - 1)).cast("int")  # keys are uniform: no sampling pass
-    return keyed.select(*docs.columns, "copy", "shuffle_key").repartitionById(parts, place).sortWithinPartitions("shuffle_key", id_col)
+    ordered = keyed.repartitionById(parts, place).sortWithinPartitions("shuffle_key", "id_text")
+    return ordered.select(*[F.col(f"own.`{c}`").alias(c) for c in columns], "copy", "shuffle_key")

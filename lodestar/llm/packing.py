@@ -131,23 +131,27 @@ def place_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id, offset`` to a table of pieces with ``doc_id, piece, length`` (and any other columns).
+    """Add ``sequence_id, offset`` to a table of pieces with ``doc_id, piece, length`` and any other columns, which stay as they are.
 
     ``pieces`` is read several times, so give a table or a materialised frame.  Repeated rows are
-    packed as often as they occur.  An empty table gives an empty result.
+    packed as often as they occur.  An empty table gives an empty result.  Columns called
+    ``sequence_id`` or ``offset`` are replaced.
     """
     spark = pieces.sparkSession
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    runs = spark.createDataFrame(place_lengths(counts, capacity), "length long, run_rank long, run_n long, run_sequence long, run_offset long")
+    runs = spark.createDataFrame(place_lengths(counts, capacity), "run_length long, run_rank long, run_n long, run_sequence long, run_offset long")
     salts = max(8, -(-sum(counts.values()) // RANK_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    whole = pieces.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), "doc_id", "piece", "length")
+    salted = whole.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
+    place = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+    ranked = salted.withColumn("place", place).join(before, ["length", "salt"]).select("own", "length", (F.col("place") + F.col("before")).alias("rank"))
     here = (F.col("rank") >= F.col("run_rank")) & (F.col("rank") < F.col("run_rank") + F.col("run_n"))
-    placed = ranked.join(F.broadcast(runs.withColumnRenamed("length", "run_length")), (F.col("length") == F.col("run_length")) & here)
-    return placed.select(*pieces.columns, (F.col("run_sequence") + F.col("rank") - F.col("run_rank")).alias("sequence_id"), F.col("run_offset").alias("offset"))
+    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("run_length")) & here)
+    sequence = (F.col("run_sequence") + F.col("rank") - F.col("run_rank")).alias("sequence_id")
+    return placed.select(*[F.col(f"own.`{c}`").alias(c) for c in columns], sequence, F.col("run_offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, eos: int = END_OF_TEXT, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:

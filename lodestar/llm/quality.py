@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import unused
+
 FEATURES = [
     "log_words", "log_chars", "chars_per_word", "longest_word", "unique_words", "unique_trigrams", "repeats",
     "upper_words", "upper_chars", "digit_chars", "space_chars", "punctuation_chars", "other_symbols", "bars",
@@ -190,17 +192,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     return fit(np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(np.float64))
 
 
-def with_scores(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` from 0 to 1 for every row; a column of that name is replaced."""
-    docs = docs.select([c for c in docs.columns if c != "score"])
+def with_scores(docs: DataFrame, model: AdditiveModel, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a score from 0 to 1 for every row under ``name``; a column of that name is replaced."""
+    docs = docs.select([c for c in docs.columns if c != name])
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(at)], np.float64).reshape(-1, len(FEATURES)).astype(np.float32).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,5 +217,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` predicted good, with their own columns; a model without labels rejects nothing."""
-    return with_scores(docs.select("*"), train(docs, labels, max_train)).where("score >= 0.5").select(docs.columns)
+    """The rows of ``docs`` predicted good, with their own columns as they are; a model without labels rejects nothing."""
+    name = unused("score", *docs.columns)
+    return with_scores(docs, train(docs, labels, max_train), name=name).where(F.col(name) >= 0.5).select(docs.columns)

@@ -83,11 +83,11 @@ WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * sum(n) OVER () / n AS rate FROM counts),
 terms AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, range(0, 1000) t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
 cdf AS (SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-drawn AS (SELECT *, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+drawn AS (SELECT *, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
 counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u) AS m FROM drawn d),
 copies AS (SELECT *, unnest(range(1, m + 1)) AS copy FROM counted)
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
-  ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || copy || '|order'), 1, 15))::BIGINT AS shuffle_key FROM copies""",
+  ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '~' || md5(coalesce(text, ''))) || '|' || copy || '|order'), 1, 15))::BIGINT AS shuffle_key FROM copies""",
     "op10_block_topk": """
 WITH good AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
