@@ -7,6 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestar.functions.text import normal_title
+from lodestar.sources.stored import stored
 
 RATIO = 0.92
 
@@ -28,29 +32,42 @@ def look_up(records: DataFrame, index: DataFrame, kinds: list[str], key: str) ->
     return hits.groupBy(key).agg(F.min(F.struct("rank", "slug")).alias("best")).select(key, F.col("best.slug").alias("slug"))
 
 
-def similar_titles(items: DataFrame, key: str, title: str, ratio: float = RATIO) -> DataFrame:
-    """``a, b, score``: pairs of titles whose sequence-matching ratio is ``ratio`` or more, keys in order.
+def title_bounds(titles: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """``ta, tb, bound``: pairs of different titles (``t``, distinct, ``ta < tb``) whose sequence-matching ratio may be ``ratio`` or more.
 
-    2 * min / (a + b) bounds the ratio, so lengths differ by a bounded factor: titles meet only in equal
-    or neighbouring length bands.  A common first word of the sorted words, or a shared rare word, is
-    not needed; a count of common letters is the second bound, and only what passes it is matched.
+    2 * min / (a + b) bounds the ratio, so lengths differ by a bounded factor and titles meet only in equal or
+    neighbouring length bands; twice the common characters, counted with repetition, over both lengths bounds it closer.
     """
     step = math.log((2 - ratio) / ratio)
-    base = items.where(F.length(title) > 0).select(F.col(key).alias("k"), F.col(title).alias("t"), F.floor(F.log(F.length(title).cast("double")) / F.lit(step)).alias("band"))
+    chars = F.split("t", "")
+    counts = F.map_from_entries(F.transform(F.array_distinct("chars"), lambda c: F.struct(c, F.size(F.filter("chars", lambda x: x == c)))))
+    base = titles.where(F.length("t") > 0).select("t", F.filter(chars, lambda c: c != "").alias("chars"), F.floor(F.log(F.length("t").cast("double")) / F.lit(step)).alias("band"))
+    base = base.select("t", "band", F.length("t").alias("n"), counts.alias("counts"))
     near = base.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    x, y = base.alias("x"), near.alias("y")
-    pairs = x.join(y, "band").where("x.k < y.k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb"))
-    la, lb = F.length("ta"), F.length("tb")
-    bound = 2 * F.least(la, lb) / (la + lb) >= ratio
+    pairs = base.alias("x").join(near.alias("y"), "band").where("x.t < y.t")
+    common = F.aggregate(F.map_values(F.map_zip_with("x.counts", "y.counts", lambda k, a, b: F.least(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))))), F.lit(0), lambda n, c: n + c)
+    both = F.col("x.n") + F.col("y.n")
+    lengths = 2 * F.least("x.n", "y.n") / both >= ratio
+    return pairs.where(lengths).select(F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), (2 * common / both).alias("bound")).where(F.col("bound") >= ratio)
+
+
+def similar_titles(items: DataFrame, key: str, title: str, ratio: float = RATIO) -> DataFrame:
+    """``a, b, score``: pairs of items whose normalised titles have a sequence-matching ratio of ``ratio`` or more, keys in order.
+
+    Each different title is compared once, and only where ``title_bounds`` leave it open; the match itself is Arrow
+    batches, as Spark has no such function.  Items without a title are in no pair.
+    """
+    base = stored(items.select(F.col(key).alias("k"), normal_title(title).alias("t")).where("t <> ''"))
 
-    @F.pandas_udf("double")
-    def match(a: pd.Series, b: pd.Series) -> pd.Series:
+    def matched(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        out = []
-        for p, q in zip(a, b, strict=True):
-            m = SequenceMatcher(None, p, q)
-            out.append(m.ratio() if m.quick_ratio() >= ratio else 0.0)
-        return pd.Series(out, dtype="float64")
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)], dtype="float64")
 
-    return pairs.where(bound).select("a", "b", match("ta", "tb").alias("score")).where(F.col("score") >= ratio)
+    match = F.pandas_udf(matched, T.DoubleType())
+    # the order of the two texts can change the ratio; both are tried
+    told = title_bounds(base.select("t").distinct(), ratio).select("ta", "tb", F.greatest(match("ta", "tb"), match("tb", "ta")).alias("score")).where(F.col("score") >= ratio)
+    told = stored(told.union(told.select("tb", "ta", "score")))
+    equal = base.alias("x").join(base.alias("y"), "t").where("x.k < y.k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.lit(1.0).alias("score"))
+    other = told.join(base.select(F.col("k").alias("a"), F.col("t").alias("ta")), "ta").join(base.select(F.col("k").alias("b"), F.col("t").alias("tb")), "tb").where("a < b")
+    return equal.union(other.select("a", "b", "score"))

@@ -1,6 +1,6 @@
 """The catalogue: importing it registers every query."""
 
-from lodestar.plans import catalog, changes, records, retrieval
+from lodestar.plans import bibliography, catalog, changes, records, retrieval, scopes
 from lodestar.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "changes", "records", "retrieval"]
+__all__ = ["QUERIES", "SQL", "bibliography", "catalog", "changes", "records", "retrieval", "scopes"]

@@ -205,6 +205,15 @@ def j10_vault_hit(spark: SparkSession, d: str) -> DataFrame:
     return identity.look_up(records, index, ["doi", "openalex"], "c_custkey")
 
 
+@query("""WITH t AS (SELECT DISTINCT trim(lower(regexp_replace(p_name || ' ' || p_type, '[^\\p{L}\\p{N}_]+', ' ', 'g'))) AS t FROM part),
+p AS (SELECT x.t AS ta, y.t AS tb, length(x.t) + length(y.t) AS n, list_sum(list_transform(string_split('abcdefghijklmnopqrstuvwxyz ', ''), lambda c: least(length(x.t) - length(replace(x.t, c, '')), length(y.t) - length(replace(y.t, c, ''))))) AS common
+  FROM t x JOIN t y ON x.t < y.t WHERE 2.0 * least(length(x.t), length(y.t)) / (length(x.t) + length(y.t)) >= 0.92)
+SELECT ta, tb, round(2.0 * common / n, 9) AS bound FROM p WHERE 2.0 * common / n >= 0.92""")
+def c4_title_bounds(spark: SparkSession, d: str) -> DataFrame:
+    titles = Star(spark, d).table("part").select(normal_title(F.concat_ws(" ", "p_name", "p_type")).alias("t")).distinct()
+    return identity.title_bounds(titles).select("ta", "tb", F.round("bound", 9).alias("bound"))
+
+
 @query()
 def j13_fuzzy_titles(spark: SparkSession, d: str) -> DataFrame:
     return identity.similar_titles(Star(spark, d).table("part"), "p_partkey", "p_name")

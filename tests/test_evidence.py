@@ -175,3 +175,21 @@ def test_pages_that_nobody_marked_are_left_or_refused(spark):
     managed = spark.createDataFrame([("a", "1", True), ("b", "1", False), ("c", "1", True), ("d", "1", None), ("e", "2", True)], "path string, content string, marked boolean")
     current = spark.createDataFrame([("a", "1"), ("b", "1"), ("e", "3"), ("f", "1")], "path string, content string")
     assert rows(network.page_actions(managed, current), "path", "action") == [("a", "keep"), ("b", "refuse"), ("c", "delete"), ("e", "write"), ("f", "write")]
+
+
+def test_fuzzy_titles_as_every_pair_by_sequence_matcher(spark):
+    from difflib import SequenceMatcher
+
+    from lodestar.functions.text import normal_title
+    from lodestar.operators import identity
+
+    titles = ["Deep learning for graphs", "Deep Learning, for graph", "deep-learning for GRAPHS", "A survey of deep learning", "Ünïcode title one", "ünïcode title  one!", "x", None, "", "..."]
+    frame = spark.createDataFrame(list(enumerate(titles)), "k int, title string")
+    tidy = {r.k: r.t for r in frame.select("k", normal_title("title").alias("t")).collect() if r.t}
+    want = set()
+    for a in tidy:
+        for b in tidy:
+            if a < b and max(SequenceMatcher(None, tidy[a], tidy[b]).ratio(), SequenceMatcher(None, tidy[b], tidy[a]).ratio()) >= 0.92:
+                want.add((a, b))
+    got = identity.similar_titles(frame, "k", "title")
+    assert {(r.a, r.b) for r in got.collect()} == want and len(want) >= 4
