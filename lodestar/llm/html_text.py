@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Pages that the weights are learnt from at most: those with the smallest hashes of their ids.
 MAX_PAGES = 200
+#: Characters of a page from which nothing is learnt, so that what comes to the driver is bounded; its text is extracted all the same.
+MAX_LEARNT = 200_000
 #: Weight of a tag and of a word of a context that no labelled page had.
 UNSEEN_TAG, UNSEEN_WORD = -1.0, 0.4
 
@@ -39,6 +41,8 @@ FURNITURE_WORDS = {
     "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "responses", "share", "sharing", "sidebar", "signup", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget", "reader", "discussion", "respond",
 }
+#: Elements that are text themselves: what their ids and classes are called does not make them furniture.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "summary", "code", "em", "strong", "b", "i", "q", "mark"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
@@ -50,19 +54,22 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its name, its place among the items, and whether it is page furniture."""
+    """An element: its name, its place among the items, whether it is page furniture, how many of it and those above are, and whether one above is content mark-up."""
 
-    __slots__ = ("name", "parent", "start", "end", "furniture", "depth")
+    __slots__ = ("name", "parent", "start", "end", "furniture", "depth", "vetoes", "marked")
 
     def __init__(self, name: str, parent: Node | None, start: int, furniture: bool):
         self.name, self.parent, self.start, self.end, self.furniture = name, parent, start, -1, furniture
         self.depth = parent.depth + 1 if parent else 0
+        self.vetoes = (parent.vetoes if parent else 0) + furniture
+        self.marked = name in ("article", "main", "section") or bool(parent and parent.marked)
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, Node]], Node]:
     """Items ``kind, value, element`` in page order; kind is 't' for text, otherwise the tag with its sign."""
     root = node = Node("#page", None, 0, False)
     items: list[tuple[str, str, Node]] = []
+    opened: Counter[str] = Counter()
     at, low, size = 0, None, len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -76,12 +83,13 @@ def parse(page: str) -> tuple[list[tuple[str, str, Node]], Node]:
             continue  # a comment, a doctype or a processing instruction
         tag = name[1].lower()
         if m[0][1] == "/":
-            up = node
-            while up.parent and up.name != tag:
-                up = up.parent
-            if up.parent:
+            if opened[tag]:  # else it closes nothing
+                up = node
+                while up.name != tag:
+                    up = up.parent
                 items.append(("/" + tag, "", up))
                 while node is not up.parent:
+                    opened[node.name] -= 1
                     node.end = len(items)
                     node = node.parent
             continue
@@ -93,21 +101,20 @@ def parse(page: str) -> tuple[list[tuple[str, str, Node]], Node]:
             at = stop + 1 if stop >= 0 else size
             continue
         while node.name in CLOSES.get(tag, ()) or node.name == "p" and tag in BLOCKS:
+            opened[node.name] -= 1
             node.end = len(items)
             node = node.parent
         marks = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m[0])}
         words = {w for k in ("class", "id") for w in _SPLIT.split(marks.get(k, ""))}
-        furniture = tag in FURNITURE or tag == "head" or bool(words & FURNITURE_WORDS) or marks.get("role") in FURNITURE_ROLES or bool(re.search(r"\shidden\b|aria-hidden=.?true", m[0]))
+        furniture = tag in FURNITURE or tag == "head" or tag not in TEXTUAL and bool(words & FURNITURE_WORDS) or marks.get("role") in FURNITURE_ROLES or bool(re.search(r"\shidden\b|aria-hidden=.?true", m[0]))
         if tag == "header":
-            up = node
-            while up and up.name not in ("article", "main", "section"):
-                up = up.parent
-            furniture = furniture or up is None
+            furniture = furniture or not node.marked
         if tag in ("body", "html", "article", "main"):
             furniture = False
         items.append((tag, "!" if furniture else "", node))
         if tag not in VOID and not m[0].endswith("/>"):
             node = Node(tag, node, len(items) - 1, furniture)
+            opened[tag] += 1
     while node:
         node.end = len(items) if node.end < 0 else node.end
         node = node.parent
@@ -119,11 +126,7 @@ def context(item: tuple[str, str, Node]) -> str:
     kind, value, node = item
     if kind != "t":
         return f"{kind}{value}"
-    up, inside = node, False
-    while up:
-        inside = inside or up.furniture
-        up = up.parent
-    return f"t:{node.name}:{inside}"
+    return f"t:{node.name}:{node.vetoes > 0}"
 
 
 def learn(pages: list[str]) -> dict[str, float]:
@@ -175,18 +178,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     lo, hi = best_region(scores)
     if lo == hi:
         return ""
-    node = None  # the deepest element over the region's text
-    for i in range(lo, hi):
-        if counts[i] and scores[i] > 0:
-            if node is None:
-                node = items[i][2]
-            else:
-                other = items[i][2]
-                while node is not other:
-                    if node.depth >= other.depth:
-                        node = node.parent
-                    else:
-                        other = other.parent
+    told = [i for i in range(lo, hi) if counts[i] and scores[i] > 0]
+    node = items[told[0]][2] if told else None  # the deepest element over the region's text
+    while node and node.parent and not (node.start <= told[0] and told[-1] < node.end):
+        node = node.parent
     up = node
     while up and up.name not in ("article", "main"):
         up = up.parent
@@ -204,13 +199,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             elif kind == "br":
                 blocks[-1].append(" ")
             continue
-        up, ours = at, True
-        while up and up is not node:
-            if up.furniture:
-                ours = False
-                break
-            up = up.parent
-        if ours:
+        if at.vetoes == (node.vetoes if node else 0):
             blocks[-1].append(value)
     lines = (_WHITE.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
     return "\n".join(x for x in lines if x)
@@ -218,7 +207,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def labelled_pages(pages: DataFrame, limit: int = MAX_PAGES, id_col: str = "page_id", html_col: str = "html") -> list[str]:
     """Pages with content mark-up, at most ``limit``, chosen by a hash of their ids; only these reach the driver."""
-    marked = pages.where(F.col(html_col).rlike("(?i)<(article|main)[ >]"))
+    marked = pages.where((F.length(html_col) < MAX_LEARNT) & F.col(html_col).rlike("(?i)<(article|main)[ >]"))
     ids = marked.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(limit)
     chosen = marked.join(F.broadcast(ids), id_col).select(id_col, html_col).orderBy(F.xxhash64(id_col), html_col).limit(limit)
     return [r[1] for r in chosen.collect()]
