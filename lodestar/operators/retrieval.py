@@ -63,7 +63,7 @@ def reached_by_terms(nodes: DataFrame, parents: DataFrame, edges: DataFrame, ter
 def corridors(nodes: DataFrame, edges: DataFrame, closure: DataFrame, cap: int = CORRIDORS, pairs: DataFrame | None = None) -> DataFrame:
     """``a, c, place, kind, axis, via, ends, side_a, side_b, n_a, n_c, total, returned, truncated``: up to ``cap`` corridors of each pair of domains, ``a < c``.
 
-    Transfers whose ends reach both domains come first, by id; then concepts of a shared axis that works
+    Transfers whose ends reach both domains come first, by id, with sides of 0; then concepts of a shared axis that works
     or gaps of both sides attach to, by axis and id.  ``pairs`` (``a, c``) keeps some pairs only.
     """
     cap = clamp(cap, CORRIDORS)
@@ -71,7 +71,7 @@ def corridors(nodes: DataFrame, edges: DataFrame, closure: DataFrame, cap: int =
     touched = moving.join(closure, moving.dst == closure.node).select(F.col("src").alias("via"), "domain").distinct()
     ends = moving.groupBy(F.col("src").alias("via")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("->"), "dst"))), "|").alias("ends"))  # one transfer's own edges
     both = touched.alias("x").join(touched.alias("y"), "via").where("x.domain < y.domain").select("via", F.col("x.domain").alias("a"), F.col("y.domain").alias("c"))
-    nothing = [F.lit(None).cast("string").alias(c) for c in ("side_a", "side_b")] + [F.lit(None).cast("long").alias(c) for c in ("n_a", "n_c")]
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("side_a", "side_b")] + [F.lit(0).cast("long").alias(c) for c in ("n_a", "n_c")]
     moved = both.join(ends, "via").select("a", "c", F.lit("transfer").alias("kind"), F.lit(None).cast("string").alias("axis"), F.lit(-1).alias("rank"), "via", "ends", *nothing)
 
     concepts = nodes.where((F.col("kind") == "concept") & F.col("axis").isin(*SHARED_AXES)).select(F.col("id").alias("concept"), "axis")

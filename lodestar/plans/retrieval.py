@@ -43,7 +43,7 @@ attached AS (SELECT DISTINCT src AS node, dst AS concept, domain FROM ev_edges J
   WHERE kind IN ('tag:pattern', 'tag:function', 'tag:failure-mode', 'concerns') AND split_part(src, ':', 1) IN ('work', 'gap')),
 sides AS (SELECT concept, domain, count(*) AS n, array_to_string(list_sort(list(node))[1:3], '|') AS first FROM attached GROUP BY ALL),
 every AS (
-  SELECT x.domain AS a, y.domain AS c, 'transfer' AS kind, NULL::VARCHAR AS axis, -1 AS rank, x.via, ends, NULL::VARCHAR AS side_a, NULL::VARCHAR AS side_b, NULL::BIGINT AS n_a, NULL::BIGINT AS n_c
+  SELECT x.domain AS a, y.domain AS c, 'transfer' AS kind, NULL::VARCHAR AS axis, -1 AS rank, x.via, ends, NULL::VARCHAR AS side_a, NULL::VARCHAR AS side_b, 0::BIGINT AS n_a, 0::BIGINT AS n_c
     FROM touched x JOIN touched y ON x.via = y.via AND x.domain < y.domain JOIN ends e ON e.via = x.via
   UNION ALL SELECT x.domain, y.domain, 'shared-axis', axis, list_position(['pattern', 'function', 'failure-mode'], axis), x.concept, NULL, x.first, y.first, x.n, y.n
     FROM sides x JOIN sides y ON x.concept = y.concept AND x.domain < y.domain JOIN ev_nodes v ON v.id = x.concept WHERE axis IN ('pattern', 'function', 'failure-mode')),
