@@ -10,6 +10,7 @@ Park, Chen and Yu, "An Effective Hash-Based Algorithm for Mining Association Rul
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +25,19 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Counters of a pass; the bitmaps of them and of frequent phrases take an eighth of that in bytes.
 BUCKETS = 1 << 23
 #: Counters in one row of a table on its way to be added up, and words of a task that are counted at a time.
-BLOCK, WORDS = 1 << 16, 1 << 19
+BLOCK, WORDS = 1 << 16, 1 << 20
+#: Different words whose numbers a task keeps at most, but for those of its last words.
+VOCABULARY = 1 << 20
+#: What stands for the end of a piece, and for no word at all.
+END, NOTHING = -1, -2
 #: Lower-cases A-Z, makes all ends of pieces line feeds and tabs spaces.
 _TIDY = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256))
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def pieces(text: str | None) -> Iterator[list[bytes]]:
-    """The words of each piece of ``text`` that has any."""
-    for piece in (text or "").encode().translate(_TIDY).split(b"\n"):
-        if words := piece.split():
-            yield words
+def tokens(text: str | None) -> list[bytes]:
+    """The words of ``text`` and ``\\n`` wherever a piece ends, with an empty token for each further space."""
+    return (text or "").encode().translate(_TIDY).replace(b"\n", b" \n ").split(b" ")
 
 
 def word_hash(lang: str, word: bytes) -> int:
@@ -60,20 +63,22 @@ def marked(bitmap: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
 
 
 class Counters:
-    """Counters that stop at the least count, in as few bytes as hold it."""
+    """Counters of one task, which it sends on up to the least count, in as few bytes as hold it."""
 
     def __init__(self, size: int, least: int):
         self.least, self.kind = least, np.uint8 if least < 1 << 7 else np.uint32
-        self.table = np.zeros(size, self.kind)
+        self.table = np.zeros(size, np.uint32)
 
     def add(self, hashes: np.ndarray) -> None:
-        at, n = np.unique(places(hashes, len(self.table)), return_counts=True)
-        self.table[at] = np.minimum(self.table[at] + np.minimum(n, self.least), self.least).astype(self.kind)
+        np.add.at(self.table, places(hashes, len(self.table)), np.uint32(1))
+        if self.table.max(initial=0) > 1 << 31:
+            np.minimum(self.table, self.least, out=self.table)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
         for b in range(0, len(self.table), BLOCK):
-            if self.table[b : b + BLOCK].any():
-                yield b // BLOCK, self.table[b : b + BLOCK].tobytes()
+            part = np.minimum(self.table[b : b + BLOCK], self.least).astype(self.kind)
+            if part.any():
+                yield b // BLOCK, part.tobytes()
 
 
 def full_buckets(blocks: DataFrame, size: int, least: int) -> np.ndarray | None:
@@ -100,6 +105,7 @@ class Numbers(dict):
     """Numbers of the words of one language, given as they come up."""
 
     def __init__(self, lang: str, words: list[tuple[str, bytes]]):
+        super().__init__({b"\n": END, b"": NOTHING})
         self.lang, self.words = lang, words
 
     def __missing__(self, word: bytes) -> int:
@@ -108,28 +114,31 @@ class Numbers(dict):
         return len(self.words) - 1
 
 
-class Stretch:
-    """About ``WORDS`` words of pieces in a row, as numbers of different words, -1 after each piece."""
+class Vocabulary:
+    """Numbers and hashes of up to some ``VOCABULARY`` different words."""
 
     def __init__(self):
         self.words: list[tuple[str, bytes]] = []
-        self.line: list[int] = []
         self._numbers: dict[str, Numbers] = {}
+        self._hashes = np.zeros(0, np.uint64)
 
-    def add(self, lang: str, words: list[bytes]) -> None:
-        numbers = self._numbers.get(lang) or self._numbers.setdefault(lang, Numbers(lang, self.words))
-        self.line += [numbers[w] for w in words]
-        self.line.append(-1)
+    def of(self, lang: str) -> Numbers:
+        return self._numbers.get(lang) or self._numbers.setdefault(lang, Numbers(lang, self.words))
 
-    def phrases(self, longest: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """The numbers, then for 1 to ``longest`` words: where phrases begin, and hashes of what begins at each place."""
-        line = np.array(self.line, np.int64)
-        words = np.array([word_hash(*w) for w in self.words] + [0], np.uint64)[line]
-        hashed, ends = [words], np.cumsum(line < 0)
-        for n in range(1, longest):
-            hashed.append(longer(hashed[-1][:-1], words[n:]))
-        begins = [np.flatnonzero((line[: len(h)] >= 0) & (ends[: len(h)] == ends[n:])) for n, h in enumerate(hashed)]
-        return line, begins, hashed
+    def hashes(self) -> np.ndarray:
+        """The hash of each word by its number, and one for what is no word."""
+        fresh = [word_hash(*w) for w in self.words[len(self._hashes) :]]
+        self._hashes = np.append(self._hashes, np.array(fresh, np.uint64))
+        return np.append(self._hashes, np.uint64(0))
+
+
+def phrases(line: np.ndarray, words: np.ndarray, longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For 1 to ``longest`` words: where phrases begin, and hashes of what begins at each place.  ``line`` has the numbers of words."""
+    hashed, whole = [words[line]], [line >= 0]
+    for n in range(1, longest):
+        hashed.append(longer(hashed[-1][:-1], hashed[0][n:]))
+        whole.append(whole[-1][:-1] & whole[0][n:])
+    return [np.flatnonzero(w) for w in whole], hashed
 
 
 def different(line: np.ndarray, at: np.ndarray, k: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,33 +160,53 @@ def _pass(docs: DataFrame, k: int, least: int, buckets: int, full: np.ndarray |
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = Counters(buckets, least)
+        vocabulary, line, seen = Vocabulary(), array("i"), np.zeros(0, np.int64)
 
-        def flush(stretch: Stretch) -> pa.RecordBatch:
-            line, begins, hashed = stretch.phrases(k + 1)
+        def told(first: np.ndarray, numbers: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+            own = [[vocabulary.words[n] for n in numbers[i : i + k]] for i in first.tolist()]
+            none = [None] * len(own)
+            return _rows([w[0][0] for w in own], [b" ".join(x for _, x in w).decode() for w in own], count, none, none)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Count what is in ``line``."""
+            nonlocal seen
+            numbers = np.frombuffer(line, np.int32)
+            numbers = numbers[numbers != NOTHING].astype(np.int64)
+            begins, hashed = phrases(numbers, vocabulary.hashes(), k + 1 if more else k)
             at = begins[k - 1]
             at = at[marked(full, hashed[k - 1][at])]
             if k > 1:  # all but the last word, and all but the first
                 at = at[marked(frequent, hashed[k - 2][at])]
                 at = at[marked(frequent, hashed[k - 2][at + 1])]
             if more:
-                counted = np.zeros(len(line) + 1, bool)
+                counted = np.zeros(len(numbers) + 1, bool)
                 counted[at] = True
                 then = begins[k]
                 counters.add(hashed[k][then[counted[then] & counted[then + 1]]])
-            first, count = different(line, at, k, len(stretch.words))
-            own = [[stretch.words[n] for n in stretch.line[i : i + k]] for i in first.tolist()]
-            none = [None] * len(own)
-            return _rows([w[0][0] for w in own], [b" ".join(x for _, x in w).decode() for w in own], count, none, none)
+            if k == 1:  # words are added up for as long as their numbers hold
+                seen = np.append(seen, np.zeros(len(vocabulary.words) - len(seen), np.int64)) + np.bincount(numbers[at], minlength=len(vocabulary.words))
+            else:
+                first, count = different(numbers, at, k, len(vocabulary.words))
+                yield told(first, numbers.tolist(), count)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            """Tell the words counted so far."""
+            for lo in range(0, len(seen), BLOCK):
+                at = np.arange(lo, min(lo + BLOCK, len(seen)))
+                yield told(at, range(len(seen)), seen[at])
 
-        stretch = Stretch()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for words in pieces(text.as_py()):
-                    stretch.add(lang, words)
-                    if len(stretch.line) >= WORDS:
-                        yield flush(stretch)
-                        stretch = Stretch()
-        yield flush(stretch)
+                line.extend(map(vocabulary.of(lang).__getitem__, tokens(text.as_py())))
+                line.append(END)
+                if len(line) >= WORDS:
+                    yield from flush()
+                    line = array("i")
+                    if len(vocabulary.words) >= VOCABULARY:
+                        yield from ended()
+                        vocabulary, seen = Vocabulary(), np.zeros(0, np.int64)
+        yield from flush()
+        yield from ended()
         if more:
             for block, counts in counters.blocks():
                 yield _rows([None], [None], [None], [block], [counts])
