@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.sources.stored import stored
 
 DEPTH, MAX_NEW, EXPLORATORY = 2, 50, 2
+#: The directions of a neighbour, in the order in which they are walked.
+DIRECTIONS = ("references", "cited_by")
 
 
 def pool(discoveries: DataFrame) -> DataFrame:
@@ -25,38 +29,77 @@ def pool(discoveries: DataFrame) -> DataFrame:
     return merged.select("key", "title", "year", "doi", "openalex", (F.col("doi").isNotNull() | F.col("openalex").isNotNull()).alias("verified"), "n_occurrences")
 
 
-def expand(seeds: DataFrame, neighbours: DataFrame, depth: int = DEPTH, max_new: int = MAX_NEW) -> DataFrame:
-    """``kind, item, via, depth, at``: new candidates and hits of the library, in the order of a first-in first-out walk.
+class Level(NamedTuple):
+    """What one level of a walk met, up to where the budget ended."""
+
+    #: ``kind, item, via, direction, depth, at``: ``new`` candidates, ``unverified`` ones, ``hit`` works of the library.
+    found: DataFrame
+    #: ``key, via, direction, depth, at`` of every candidate met, new or not.
+    met: DataFrame
+    #: ``warning``: nodes without identifiers, and nodes of which a neighbour was dropped.
+    warnings: DataFrame
+    #: ``node`` of those walked to their end, and ``node, at`` of what is to be walked next.
+    expanded: DataFrame
+    frontier: DataFrame
+    #: New verified candidates.
+    used: int
+
+
+def level(frontier: DataFrame, neighbours: DataFrame, depth: int, left: int, known: DataFrame | None = None, walked: DataFrame | None = None, identified: DataFrame | None = None, last: bool = False) -> Level:
+    """Walk the nodes of ``frontier`` (``node, at``), until ``left`` new verified candidates came up.
 
-    ``seeds`` has ``node, seq``; ``neighbours`` ``node, place, key, slug``, where ``slug`` names a node of the library
-    that the record is, or is null.  A level is one join.  Hits walk on while depth remains; candidates never do.  The walk
-    ends where the ``max_new``-th new key comes up, in the middle of a node if need be.
+    ``neighbours`` has ``node, direction, place, key, verified, slug``: references come before what cites, each in order of
+    ``place``; ``slug`` names a work of the library that the record is, ``key`` identifies any other.  ``at`` is the path of
+    places that leads to a row, so comparing paths is the order of a first-in first-out walk, and nothing is numbered.  A
+    candidate counts when it is new to ``known`` (``key``) and verified where first met; the others are kept but use no
+    budget.  ``walked`` (``node``) are never queued again, and the ``last`` level queues nothing; nodes that are not ``identified``, if given, are skipped.
     """
-    frontier = stored(seeds.select("node", "seq"))
-    walked, used, keys, out = frontier.select("node"), 0, None, None
-    for level in range(1, depth + 1):
-        met = stored(frontier.join(neighbours, "node").select("seq", "place", F.col("node").alias("via"), "key", "slug"))
-        new = met.where("slug is null and key is not null").groupBy("key").agg(F.min(F.struct("seq", "place", "via")).alias("at"))
-        new = new if keys is None else new.join(keys, "key", "left_anti")
-        new = stored(new.orderBy("at.seq", "at.place").limit(max_new - used))
-        n = new.count()
-        hits = met.where("slug is not null")
-        if n == max_new - used:  # the budget ends at this place: nothing after it was met
-            last = new.orderBy(F.desc("at.seq"), F.desc("at.place")).first()["at"]
-            hits = hits.where((F.col("seq") < last["seq"]) | ((F.col("seq") == last["seq"]) & (F.col("place") < last["place"])))
-        found = hits.groupBy("slug", "via").agg(F.min(F.struct("seq", "place")).alias("at"))
-        rows = new.select(F.lit("new").alias("kind"), F.col("key").alias("item"), F.col("at.via").alias("via"), F.lit(level).alias("depth"), F.struct("at.seq", "at.place").alias("at"))
-        rows = rows.union(found.select(F.lit("hit"), F.col("slug"), "via", F.lit(level), F.struct("at.seq", "at.place")))
-        out = rows if out is None else out.union(rows)
-        used += n
-        if used >= max_new or level == depth:
+    able = frontier if identified is None else frontier.join(identified.select("node"), "node", "left_semi")
+    rank = F.when(F.col("direction") == DIRECTIONS[0], 0).otherwise(1).cast("long")
+    place = F.concat("at", F.array(rank, F.col("place").cast("long")))
+    met = stored(able.join(neighbours, "node").select(place.alias("at"), F.col("node").alias("via"), "direction", "key", F.coalesce("verified", F.lit(False)).alias("verified"), "slug"))
+    candidates = met.where("slug is null and key is not null")
+    first = candidates.groupBy("key").agg(F.min(F.struct("at", "verified", "via", "direction")).alias("x"))
+    first = stored(first if known is None else first.join(known.select("key"), "key", "left_anti"))
+    new = first.where("x.verified").orderBy("x.at").limit(left)
+    ends = new.select("x.at").collect()  # the budget's length
+    within, done = F.lit(True), F.lit(True)
+    if len(ends) == left:  # the walk ends at this place: nothing after it was met, and its node is not walked to the end
+        cut = [F.lit(x).cast("long") for x in ends[-1]["at"]]
+        within, done = F.col("at") <= F.array(*cut), F.col("at") < F.array(*cut[:-2])
+
+    def row(kind: str, item: str, of: str) -> list[Column]:
+        return [F.lit(kind).alias("kind"), F.col(item).alias("item"), *[F.col(f"{of}{c}").alias(c) for c in ("via", "direction")], F.lit(depth).alias("depth"), F.col(f"{of}at").alias("at")]
+
+    hits = met.where(F.col("slug").isNotNull() & within).groupBy("slug", "via", "direction").agg(F.min("at").alias("at"))
+    found = hits.select(*row("hit", "slug", "")).union(first.select(*row("new", "key", "x."), F.col("x.verified").alias("verified")).withColumn("kind", F.when(F.col("verified"), "new").otherwise("unverified")).drop("verified").where(within))
+    dropped = met.where(F.col("slug").isNull() & F.col("key").isNull() & within).select(F.concat(F.lit("unidentifiable:"), "via").alias("warning")).distinct()
+    skipped = frontier.join(able.select("node"), "node", "left_anti").where(done).select(F.concat(F.lit("no_ids:"), "node").alias("warning"))
+    fresh = hits.groupBy(F.col("slug").alias("node")).agg(F.min("at").alias("at"))
+    fresh = fresh if walked is None else fresh.join(walked.select("node"), "node", "left_anti")
+    behind = frontier.where(F.col("at") > F.array(*cut[:-2])) if len(ends) == left else frontier.limit(0)
+    queue = behind.select("node", "at") if last else behind.select("node", "at").union(fresh.select("node", "at"))
+    return Level(found, candidates.where(within).select("key", "via", "direction", F.lit(depth).alias("depth"), "at"), dropped.union(skipped), able.where(done).select("node"), queue, len(ends))
+
+
+def expand(seeds: DataFrame, neighbours: DataFrame, depth: int = DEPTH, max_new: int = MAX_NEW, known: DataFrame | None = None) -> DataFrame:
+    """``kind, item, via, direction, depth, at`` of a whole walk (see ``level``), without state; ``seeds`` have ``node, seq``.
+
+    Hits walk on while depth remains; candidates never do.  The walk ends where the ``max_new``-th new verified key comes up.
+    """
+    frontier = stored(seeds.groupBy("node").agg(F.array(F.min("seq").cast("long")).alias("at")))
+    walked, used, out = frontier.select("node"), 0, None
+    for n in range(1, depth + 1):
+        met = level(frontier, neighbours, n, max_new - used, known, walked)
+        found = stored(met.found)
+        out, used = found if out is None else out.union(found), used + met.used
+        if used >= max_new or n == depth:
             break
-        keys = new.select("key") if keys is None else keys.union(new.select("key"))
-        fresh = found.groupBy(F.col("slug").alias("node")).agg(F.min("at").alias("at")).join(walked, "node", "left_anti")
-        ranked = fresh.select("node", F.row_number().over(Window.orderBy("at.seq", "at.place")).alias("seq"))  # one number for each node of a level: its place in the queue
-        frontier = stored(ranked)
+        own = found.where("kind <> 'hit'").select(F.col("item").alias("key"))
+        known = own if known is None else known.select("key").union(own)
+        frontier = stored(met.frontier)
         walked = walked.union(frontier.select("node"))
-    return out.select("kind", "item", "via", "depth", F.col("at.seq").alias("seq"), F.col("at.place").alias("place"))
+    return out
 
 
 def stop_reason(found: DataFrame, max_new: int = MAX_NEW) -> str:
@@ -64,11 +107,18 @@ def stop_reason(found: DataFrame, max_new: int = MAX_NEW) -> str:
     return "budget_reached" if found.where("kind = 'new'").count() >= max_new else "frontier_exhausted"
 
 
-def review_batch(found: DataFrame, candidates: DataFrame, decisions: DataFrame, scope: str) -> DataFrame:
-    """``key, title, n_occurrences, decision``: the new candidates of a walk with what the scope decided before."""
-    new = found.where("kind = 'new'").select(F.col("item").alias("key"))
+def budget(found: DataFrame, max_new: int = MAX_NEW) -> DataFrame:
+    """``max_new, used, stop_reason`` of a walk: one row."""
+    used = F.count(F.when(F.col("kind") == "new", 1))
+    return found.agg(F.lit(max_new).alias("max_new"), used.alias("used"), F.when(used >= max_new, "budget_reached").otherwise("frontier_exhausted").alias("stop_reason"))
+
+
+def review_batch(found: DataFrame, candidates: DataFrame, decisions: DataFrame, scope: str, max_new: int = MAX_NEW) -> DataFrame:
+    """``key, title, n_occurrences, decision, max_new, used, stop_reason``: the new verified candidates of a walk, what the scope decided before, and the budget."""
+    new = found.where("kind = 'new'").select(F.col("item").alias("key"))  # MAX_NEW at most
     told = decisions.where(F.col("scope") == scope).select("key", "decision")
-    return candidates.join(F.broadcast(new), "key", "left_semi").join(told, "key", "left").select("key", "title", "n_occurrences", "decision")
+    batch = candidates.join(F.broadcast(new), "key", "left_semi").join(told, "key", "left").select("key", "title", "n_occurrences", "decision")
+    return batch.crossJoin(F.broadcast(budget(found, max_new)))  # one row
 
 
 def apply_decisions(stored_decisions: DataFrame, made: DataFrame, batch: DataFrame, scope: str) -> DataFrame:

@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.sources.stored import stored
 
 MAX_PAGE = 500
+#: Links between nodes that have children up to which one task closes them.
+AT_ONCE = 100_000
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of node and ancestor of the links of one task."""
+    above: dict[str, set[str]] = {}
+    for batch in batches:
+        for child, parent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            above.setdefault(child, set()).add(parent)
+    for node in above:
+        found, fresh = set(), {node}
+        while fresh := {p for n in fresh for p in above.get(n, ())} - found:
+            found |= fresh
+        yield pa.RecordBatch.from_arrays([pa.array([node] * len(found)), pa.array(sorted(found))], ["node", "ancestor"])
 
 
-def ancestors(parents: DataFrame, start: DataFrame | None = None, prefix: str = "") -> DataFrame:
+def ancestors(parents: DataFrame, start: DataFrame | None = None, prefix: str = "", at_once: int = AT_ONCE) -> DataFrame:
     """``node, ancestor`` of the parents' DAG, each pair once; of ``start`` nodes only, and of ancestors with ``prefix`` only, if given.
 
-    Only nodes that have children are closed level by level, which are few beside the leaves; the rest
-    is one join with that closure.  A level holds pairs that are new, so a cycle ends by itself and no depth is too deep.
+    Only links of nodes that have children are closed, which are few beside the leaves; the rest is one join with
+    that closure.  Up to ``at_once`` such links are closed in one task; more of them level by level, a level being the
+    pairs that are new.  Either way a cycle ends by itself and no depth is too deep.
     """
     links = parents.select("child", "parent")
-    inner = stored(links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").distinct())
-    found = fresh = inner.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
-    while not fresh.isEmpty():
-        further = fresh.join(inner.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
-        fresh = stored(further.join(found, ["node", "ancestor"], "left_anti"))
-        found = found.union(fresh)
+    inner = stored(links.join(links.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").where("parent is not null").distinct())
+    if inner.count() <= at_once:
+        found = inner.coalesce(1).mapInArrow(_close, "node string, ancestor string")
+    else:
+        found = fresh = inner.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+        while not fresh.isEmpty():
+            further = fresh.join(inner.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
+            fresh = stored(further.join(found, ["node", "ancestor"], "left_anti"))
+            found = found.union(fresh)
     own = links if start is None else links.join(start.select(F.col("node").alias("child")), "child", "left_semi")
     wanted = F.startswith("ancestor", F.lit(prefix))
     above = own.join(found.where(wanted).withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "ancestor")
@@ -37,23 +59,24 @@ def domain_closure(parents: DataFrame) -> DataFrame:
 
 
 def sides(attached: DataFrame, closure: DataFrame, sample: int = 3) -> DataFrame:
-    """``concept, domain, n, first``: how many nodes of a domain attach to a concept, and the first ``sample`` of them.
+    """``concept, domain, n, first``: how many nodes of a domain attach to a concept, and an array of the first ``sample`` of them.
 
-    ``attached`` has ``node, concept``.  Places are numbered in the partitioning that the counts then use.
+    ``attached`` has ``node, concept``.  Nodes are counted with partial sums, and only ``sample`` of them from each task are
+    ever ranked, so a concept that holds a third of all rows is not gathered anywhere.
     """
-    own = attached.select("node", "concept").distinct().join(closure, "node")
-    placed = own.withColumn("r", F.row_number().over(Window.partitionBy("concept", "domain").orderBy("node")))
-    first = F.array_sort(F.collect_list(F.when(F.col("r") <= sample, F.col("node"))))  # ``sample`` nodes at most
-    return placed.groupBy("concept", "domain").agg(F.count(F.lit(1)).alias("n"), F.array_join(first, "|").alias("first"))
+    own = stored(attached.select("node", "concept").distinct().join(closure, "node"))
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("concept", "domain").orderBy("node"))).where(F.col("r") <= sample)
+    first = ranked.groupBy("concept", "domain").agg(F.array_sort(F.collect_list("node")).alias("first"))  # ``sample`` nodes at most
+    return own.groupBy("concept", "domain").agg(F.count(F.lit(1)).alias("n")).join(first, ["concept", "domain"])
 
 
 def shared_concepts(edges: DataFrame, closure: DataFrame, sample: int = 3) -> DataFrame:
-    """``a, c, concept, n_a, n_c, first_a``: concepts that nodes of two domains attach to, with counts and a sample of side a.
+    """``a, c, concept, n_a, n_c, first_a``: concepts that nodes of two domains attach to, with counts and a sample of side a, an array.
 
     Attachments are counted for each concept and domain before domains are paired, so the pairing sees
     one row for each concept and domain, however many nodes attach.
     """
-    both = sides(edges.select(F.col("src").alias("node"), F.col("dst").alias("concept")), closure, sample)
+    both = stored(sides(edges.select(F.col("src").alias("node"), F.col("dst").alias("concept")), closure, sample))
     left = both.select("concept", F.col("domain").alias("a"), F.col("n").alias("n_a"), F.col("first").alias("first_a"))
     right = both.select("concept", F.col("domain").alias("c"), F.col("n").alias("n_c"))
     return left.join(right, "concept").where("a < c").select("a", "c", "concept", "n_a", "n_c", "first_a")

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,66 +47,104 @@ def term_hits(nodes: DataFrame, terms: list[str]) -> DataFrame:
     return nodes.select("id", "kind", F.explode(found).alias("term"))
 
 
-def reached_by_terms(nodes: DataFrame, parents: DataFrame, edges: DataFrame, terms: list[str]) -> DataFrame:
-    """``node, reason``, each once: works and gaps by their own text, by their claims, and by concepts that they, or their claims, attach to or stand under."""
-    hits = term_hits(nodes, terms)
+def reached(nodes: DataFrame, parents: DataFrame, edges: DataFrame, terms: list[str]) -> DataFrame:
+    """``node, term, reason``, each once: works and gaps by their own text, by their claims, and by concepts that they, or their claims, attach to or stand under."""
+    hits = stored(term_hits(nodes, terms))
     because = F.concat(F.lit(" (term:"), F.col("term"), F.lit(")"))
-    own = hits.where(F.col("kind").isin(ENDS)).select(F.col("id").alias("node"), F.concat(F.lit("term:"), F.col("term")).alias("reason"))
-    claimed = hits.where("kind = 'claim'").join(parents, F.col("id") == F.col("child")).select(F.col("parent").alias("node"), F.concat(F.lit("claim:"), F.col("id"), because).alias("reason"))
-    concepts = hits.where("kind in ('concept', 'domain')").select("id", F.concat(F.lit("concept:"), F.col("id"), because).alias("reason"))
-    pointed = concepts.join(edges, F.col("id") == F.col("dst")).select(F.col("src").alias("node"), "reason")
-    from_claims = pointed.where(F.startswith("node", F.lit("claim:"))).join(parents, F.col("node") == F.col("child")).select(F.col("parent").alias("node"), "reason")
-    below = concepts.join(parents, F.col("id") == F.col("parent")).select(F.col("child").alias("node"), "reason")
+    own = hits.where(F.col("kind").isin(ENDS)).select(F.col("id").alias("node"), "term", F.concat(F.lit("term:"), F.col("term")).alias("reason"))
+    claimed = hits.where("kind = 'claim'").join(parents, F.col("id") == F.col("child")).select(F.col("parent").alias("node"), "term", F.concat(F.lit("claim:"), F.col("id"), because).alias("reason"))
+    concepts = hits.where("kind in ('concept', 'domain')").select("id", "term", F.concat(F.lit("concept:"), F.col("id"), because).alias("reason"))
+    pointed = concepts.join(edges, F.col("id") == F.col("dst")).select(F.col("src").alias("node"), "term", "reason")
+    from_claims = pointed.where(F.startswith("node", F.lit("claim:"))).join(parents, F.col("node") == F.col("child")).select(F.col("parent").alias("node"), "term", "reason")
+    below = concepts.join(parents, F.col("id") == F.col("parent")).select(F.col("child").alias("node"), "term", "reason")
     every = own.union(claimed).union(pointed).union(from_claims).union(below)
     ends = nodes.where(F.col("kind").isin(ENDS)).select(F.col("id").alias("node"))
     return every.distinct().join(ends, "node", "left_semi")
 
 
-def corridors(nodes: DataFrame, edges: DataFrame, closure: DataFrame, cap: int = CORRIDORS, pairs: DataFrame | None = None) -> DataFrame:
+def reached_by_terms(nodes: DataFrame, parents: DataFrame, edges: DataFrame, terms: list[str]) -> DataFrame:
+    """``node, reason`` of ``reached``, each once; a reason names its term."""
+    return reached(nodes, parents, edges, terms).select("node", "reason")
+
+
+class Bridges(NamedTuple):
+    """What corridors between any two domains are made of, stored once for all that is asked of them."""
+
+    #: ``via, domain`` of transfers that touch a domain, and ``via, ends`` (an array of ``kind, dst``).
+    touched: DataFrame
+    ends: DataFrame
+    #: ``concept, axis, rank, domain, n, first`` of concepts of a shared axis.
+    sides: DataFrame
+
+
+def bridges(nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> Bridges:
+    """Transfers with the domains that their ends reach, and concepts of a shared axis with the works and gaps of each domain that attach."""
+    moving = stored(edges.join(nodes.where("kind = 'transfer'").select(F.col("id").alias("src")), "src", "left_semi"))
+    touched = stored(moving.join(closure, moving.dst == closure.node).select(F.col("src").alias("via"), "domain").distinct())
+    ends = stored(moving.groupBy(F.col("src").alias("via")).agg(F.array_sort(F.collect_list(F.struct("kind", "dst"))).alias("ends")))  # one transfer's own edges
+    rank = F.array_position(F.array(*map(F.lit, SHARED_AXES)), F.col("axis")).cast("int").alias("rank")
+    concepts = nodes.where((F.col("kind") == "concept") & F.col("axis").isin(*SHARED_AXES)).select(F.col("id").alias("concept"), "axis", rank)
+    sources = nodes.where(F.col("kind").isin(ENDS)).select(F.col("id").alias("node"))
+    attached = edges.where(F.col("kind").isin(ATTACHING)).select(F.col("src").alias("node"), F.col("dst").alias("concept"))
+    attached = attached.join(sources, "node", "left_semi").join(concepts.select("concept"), "concept", "left_semi")
+    return Bridges(touched, ends, stored(sides(attached, closure).join(concepts, "concept")))
+
+
+def corridors(found: Bridges, cap: int = CORRIDORS, pairs: DataFrame | None = None) -> DataFrame:
     """``a, c, place, kind, axis, via, ends, side_a, side_b, n_a, n_c, total, returned, truncated``: up to ``cap`` corridors of each pair of domains, ``a < c``.
 
     Transfers whose ends reach both domains come first, by id, with sides of 0; then concepts of a shared axis that works
-    or gaps of both sides attach to, by axis and id.  ``pairs`` (``a, c``) keeps some pairs only.
+    or gaps of both sides attach to, by axis and id.  ``ends``, ``side_a`` and ``side_b`` are arrays.  ``pairs`` (``a, c``) keeps
+    some pairs only; nothing of other domains is paired at all.
     """
-    cap = clamp(cap, CORRIDORS)
-    moving = edges.join(nodes.where("kind = 'transfer'").select(F.col("id").alias("src")), "src", "left_semi")
-    touched = moving.join(closure, moving.dst == closure.node).select(F.col("src").alias("via"), "domain").distinct()
-    ends = moving.groupBy(F.col("src").alias("via")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("->"), "dst"))), "|").alias("ends"))  # one transfer's own edges
+    cap, touched, counted = clamp(cap, CORRIDORS), found.touched, found.sides
+    if pairs is not None:  # pairs of domains: a handful
+        pairs = F.broadcast(pairs.distinct())
+        wanted = F.broadcast(pairs.select(F.col("a").alias("domain")).union(pairs.select(F.col("c").alias("domain"))).distinct())
+        touched, counted = touched.join(wanted, "domain", "left_semi"), counted.join(wanted, "domain", "left_semi")
     both = touched.alias("x").join(touched.alias("y"), "via").where("x.domain < y.domain").select("via", F.col("x.domain").alias("a"), F.col("y.domain").alias("c"))
-    nothing = [F.lit(None).cast("string").alias(c) for c in ("side_a", "side_b")] + [F.lit(0).cast("long").alias(c) for c in ("n_a", "n_c")]
-    moved = both.join(ends, "via").select("a", "c", F.lit("transfer").alias("kind"), F.lit(None).cast("string").alias("axis"), F.lit(-1).alias("rank"), "via", "ends", *nothing)
-
-    concepts = nodes.where((F.col("kind") == "concept") & F.col("axis").isin(*SHARED_AXES)).select(F.col("id").alias("concept"), "axis")
-    sources = nodes.where(F.col("kind").isin(ENDS)).select(F.col("id").alias("node"))
-    attached = edges.where(F.col("kind").isin(ATTACHING)).select(F.col("src").alias("node"), F.col("dst").alias("concept"))
-    attached = attached.join(sources, "node", "left_semi")
-    counted = sides(attached, closure).join(concepts, "concept")
-    left = counted.select("concept", "axis", F.col("domain").alias("a"), F.col("first").alias("side_a"), F.col("n").alias("n_a"))
+    nothing = [F.lit(None).cast("array<string>").alias(c) for c in ("side_a", "side_b")] + [F.lit(0).cast("long").alias(c) for c in ("n_a", "n_c")]
+    moved = both.join(found.ends, "via").select("a", "c", F.lit("transfer").alias("kind"), F.lit(None).cast("string").alias("axis"), F.lit(-1).alias("rank"), "via", "ends", *nothing)
+    left = counted.select("concept", "axis", "rank", F.col("domain").alias("a"), F.col("first").alias("side_a"), F.col("n").alias("n_a"))
     right = counted.select("concept", F.col("domain").alias("c"), F.col("first").alias("side_b"), F.col("n").alias("n_c"))
-    rank = F.array_position(F.array(*map(F.lit, SHARED_AXES)), F.col("axis")).cast("int")
-    shared = left.join(right, "concept").where("a < c").select("a", "c", F.lit("shared-axis").alias("kind"), "axis", rank.alias("rank"), F.col("concept").alias("via"), F.lit(None).cast("string").alias("ends"), "side_a", "side_b", "n_a", "n_c")
+    no_ends = F.lit(None).cast(found.ends.schema["ends"].dataType).alias("ends")
+    shared = left.join(right, "concept").where("a < c").select("a", "c", F.lit("shared-axis").alias("kind"), "axis", "rank", F.col("concept").alias("via"), no_ends, "side_a", "side_b", "n_a", "n_c")
 
     every = moved.union(shared)
-    every = every if pairs is None else every.join(F.broadcast(pairs), ["a", "c"], "left_semi")  # pairs of domains: a handful
+    every = every if pairs is None else every.join(pairs, ["a", "c"], "left_semi")
     total = every.groupBy("a", "c").agg(F.count(F.lit(1)).alias("total"))
     order = Window.partitionBy("a", "c").orderBy("rank", "via")
     first = every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).drop("rank")
-    out = first.join(total, ["a", "c"]).withColumn("returned", F.least("total", F.lit(cap).cast("long"))).withColumn("truncated", F.col("total") > cap)
+    out = first.join(F.broadcast(total), ["a", "c"]).withColumn("returned", F.least("total", F.lit(cap).cast("long"))).withColumn("truncated", F.col("total") > cap)
     return out.select("a", "c", "place", "kind", "axis", "via", "ends", "side_a", "side_b", "n_a", "n_c", "total", "returned", "truncated")
 
 
+def shown(found: DataFrame) -> DataFrame:
+    """Corridors with their arrays as text."""
+    return found.withColumns({
+        "ends": F.array_join(F.transform("ends", lambda e: F.concat(e["kind"], F.lit("->"), e["dst"])), "|"),
+        "side_a": F.array_join("side_a", "|"), "side_b": F.array_join("side_b", "|"),
+    })
+
+
 def hit_domains(reasons: DataFrame, closure: DataFrame) -> DataFrame:
     """``a, c``: pairs of the domains that what was found stands under; domains are a handful."""
     domains = reasons.join(closure, "node").select("domain").distinct()
     return domains.alias("x").join(F.broadcast(domains.alias("y")), F.col("x.domain") < F.col("y.domain")).select(F.col("x.domain").alias("a"), F.col("y.domain").alias("c"))
 
 
-def candidate_reasons(nodes: DataFrame, parents: DataFrame, edges: DataFrame, terms: list[str], closure: DataFrame | None = None) -> DataFrame:
+def sampled_ends(found: Bridges, pairs: DataFrame) -> DataFrame:
+    """``a, c, node, reason``: the sampled ends of shared-axis corridors between the domains of each pair."""
+    between = corridors(found, pairs=pairs).where("kind = 'shared-axis'")
+    return between.select("a", "c", F.explode(F.concat("side_a", "side_b")).alias("node"), F.concat(F.lit("corridor:"), F.col("via")).alias("reason"))
+
+
+def candidate_reasons(nodes: DataFrame, parents: DataFrame, edges: DataFrame, terms: list[str], closure: DataFrame | None = None, found: Bridges | None = None) -> DataFrame:
     """``node, reason``, each once: all that terms reach, and the sampled ends of shared-axis corridors between the domains that they hit."""
     closure = stored(domain_closure(parents)) if closure is None else closure
+    found = bridges(nodes, edges, closure) if found is None else found
     reasons = stored(reached_by_terms(nodes, parents, edges, terms))
-    between = corridors(nodes, edges, closure, pairs=stored(hit_domains(reasons, closure))).where("kind = 'shared-axis'")
-    sampled = between.select(F.concat(F.lit("corridor:"), F.col("via")).alias("reason"), F.explode(F.concat(F.split("side_a", "[|]"), F.split("side_b", "[|]"))).alias("node"))
+    sampled = sampled_ends(found, stored(hit_domains(reasons, closure)))
     return reasons.union(sampled.select("node", "reason")).distinct()
 
 
@@ -144,8 +184,9 @@ def novelty(nodes: DataFrame, parents: DataFrame, edges: DataFrame, terms: list[
     then ends of the corridors, in order.
     """
     closure = stored(domain_closure(parents))
-    hits = stored(ranked_candidates(candidate_reasons(nodes, parents, edges, terms, closure)))
-    between = corridors(nodes, edges, closure, pairs=stored(hit_domains(hits, closure)))
+    built = bridges(nodes, edges, closure)
+    hits = stored(ranked_candidates(candidate_reasons(nodes, parents, edges, terms, closure, built)))
+    between = corridors(built, pairs=stored(hit_domains(hits, closure)))
     # one transfer may join several pairs of domains and counts once; sides differ from pair to pair
     once = between.withColumn("again", F.row_number().over(Window.partitionBy("kind", "via", "ends", "side_a", "side_b").orderBy("a", "c", "place"))).where("again = 1")
     found = stored(once.withColumn("at", F.row_number().over(Window.orderBy("a", "c", "place"))))  # at most CORRIDORS for each pair of a handful of domains
@@ -154,8 +195,8 @@ def novelty(nodes: DataFrame, parents: DataFrame, edges: DataFrame, terms: list[
 
     work = nodes.where("kind = 'work'").select(F.col("id").alias("node"))
     because = F.concat(F.lit("corridor:"), F.col("via"))
-    ends = F.transform(F.split(F.coalesce("ends", F.lit("")), "[|]"), lambda x: F.substring_index(x, "->", -1))
-    touched = F.concat(F.split(F.coalesce("side_a", F.lit("")), "[|]"), F.split(F.coalesce("side_b", F.lit("")), "[|]"), ends)
+    none_there = F.array().cast("array<string>")
+    touched = F.concat(F.coalesce("side_a", none_there), F.coalesce("side_b", none_there), F.coalesce(F.transform("ends", lambda e: e["dst"]), none_there))
     at_ends = kept.select("at", because.alias("why"), F.posexplode(touched).alias("k", "node"))
     every = hits.select(F.lit(0).alias("at"), "why", F.col("place").alias("k"), "node").union(at_ends.select("at", "why", "k", "node"))
     first = every.join(work, "node", "left_semi").groupBy("node").agg(F.min(F.struct("at", "k", "why")).alias("f"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from lodestar.plans.registry import query
 from lodestar.plans.retrieval import EVIDENCE
 from lodestar.sources import providers, snapshots
 from lodestar.sources.star import Star
-from lodestar.sources.stored import shared_folder
+from lodestar.sources.stored import state_folder
 
 
 def _text(c: str) -> Column:
@@ -117,7 +114,7 @@ def s18_quartile_table(spark: SparkSession, d: str) -> DataFrame:
 def k1_index_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The evidence graph written as a snapshot and read again, with what its freshness was before, after, and for another source."""
     star = Star(spark, d)
-    folder = f"{shared_folder(spark) or 'file://' + tempfile.mkdtemp(prefix='lodestar-')}/index-{uuid.uuid4().hex}"
+    folder = state_folder(spark, "index")
     states = [snapshots.freshness(spark, folder, "source-1")]
     tables = snapshots.ensure_snapshot(spark, folder, lambda: {"nodes": star.evidence_nodes(), "edges": star.evidence_edges()}, "source-1", "2024-01-01T00:00:00")
     states += [snapshots.freshness(spark, folder, s) for s in ("source-1", "source-2")]

@@ -47,15 +47,17 @@ sides AS (SELECT concept, domain, count(*) AS n, array_to_string(list_sort(list(
 SELECT x.domain AS a, y.domain AS c, x.concept, x.n AS n_a, y.n AS n_c, x.first AS first_a FROM sides x JOIN sides y ON x.concept = y.concept AND x.domain < y.domain""")
 def j18_shared_axis_corridors(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
-    return graph.shared_concepts(star.edges().where(F.col("kind").isin("tag:pattern", "concerns")), graph.domain_closure(star.parents()))
+    found = graph.shared_concepts(star.edges().where(F.col("kind").isin("tag:pattern", "concerns")), graph.domain_closure(stored(star.parents())))
+    return found.withColumn("first_a", F.array_join("first_a", "|"))
 
 
 @query(f"""WITH RECURSIVE {PARENTS}, {ORDER_PARENTS}, own AS (SELECT DISTINCT o.child AS node, p.parent AS domain FROM order_parents o JOIN parents p ON o.parent = p.child)
 SELECT x.domain AS a, y.domain AS c, count(*) AS n FROM own x JOIN own y ON x.node = y.node AND x.domain < y.domain GROUP BY ALL""")
 def j17_spanning_sets(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
-    up = graph.ancestors(star.parents().union(star.order_parents()), star.order_parents().select(F.col("child").alias("node")).distinct())
-    return graph.spanning(up.where(F.startswith("ancestor", F.lit("domain:"))).select("node", F.col("ancestor").alias("domain")))
+    orders = stored(star.order_parents())
+    up = graph.ancestors(star.parents().union(orders), orders.select(F.col("child").alias("node")).distinct(), "domain:")
+    return graph.spanning(up.withColumnRenamed("ancestor", "domain"))
 
 
 @query("SELECT 'domain:' || x.r_name AS a, 'domain:' || y.r_name AS c FROM region x JOIN region y ON x.r_name < y.r_name")

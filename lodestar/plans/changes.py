@@ -245,42 +245,68 @@ def f16_contents(spark: SparkSession, d: str) -> DataFrame:
     return port.contents_cut(t("documents").select(_node("document:", "doc_id").alias("id"), "text").union(t("pages").select(_node("page:", "page_id"), "html")))
 
 
-# Expansion: customers are the library, parts the records that their orders refer to.
-
-WALK = """own AS (SELECT DISTINCT o_custkey AS node, l_partkey AS part FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-nb AS (SELECT own.node, row_number() OVER (PARTITION BY own.node ORDER BY part) AS place, 'doi:10.1/' || part AS key, c_custkey AS slug FROM own LEFT JOIN customer ON c_custkey = part),
-m1 AS (SELECT n.*, f.seq FROM nb n JOIN (VALUES (1, 1), (7, 2), (12, 3)) f(node, seq) USING (node)),
-w1 AS (SELECT key, min((seq, place, node)) AS pos FROM m1 WHERE slug IS NULL GROUP BY key), k1 AS (SELECT * FROM w1 ORDER BY pos LIMIT 50),
-c1 AS (SELECT CASE WHEN count(*) = 50 THEN max((pos[1], pos[2])) END AS cut FROM k1),
-h1 AS (SELECT slug, node AS via, min((seq, place)) AS pos FROM m1, c1 WHERE slug IS NOT NULL AND (cut IS NULL OR (seq, place) < cut) GROUP BY ALL),
-q2 AS (SELECT slug AS node, row_number() OVER (ORDER BY min(pos)) AS seq FROM h1 WHERE slug NOT IN (1, 7, 12) AND (SELECT count(*) FROM k1) < 50 GROUP BY slug),
-m2 AS (SELECT n.*, f.seq FROM nb n JOIN q2 f USING (node)),
-w2 AS (SELECT key, min((seq, place, node)) AS pos FROM m2 WHERE slug IS NULL AND key NOT IN (SELECT key FROM k1) GROUP BY key),
-k2 AS (SELECT * FROM w2 QUALIFY row_number() OVER (ORDER BY pos) <= 50 - (SELECT count(*) FROM k1)),
-c2 AS (SELECT CASE WHEN count(*) = 50 - (SELECT count(*) FROM k1) THEN max((pos[1], pos[2])) END AS cut FROM k2),
-h2 AS (SELECT slug, node AS via, min((seq, place)) AS pos FROM m2, c2 WHERE slug IS NOT NULL AND (cut IS NULL OR (seq, place) < cut) GROUP BY ALL),
-walk AS (SELECT 'new' AS kind, key AS item, pos[3]::VARCHAR AS via, 1 AS depth, pos[1]::INTEGER AS seq, pos[2]::INTEGER AS place FROM k1 UNION ALL SELECT 'hit', slug::VARCHAR, via::VARCHAR, 1, pos[1]::INTEGER, pos[2]::INTEGER FROM h1
-  UNION ALL SELECT 'new', key, pos[3]::VARCHAR, 2, pos[1]::INTEGER, pos[2]::INTEGER FROM k2 UNION ALL SELECT 'hit', slug::VARCHAR, via::VARCHAR, 2, pos[1]::INTEGER, pos[2]::INTEGER FROM h2)"""
+# Expansion: customers of even keys are the library, parts the records that orders refer to or, unless returned, are cited by.
+
+DIRECTION = "CASE {0} WHEN 0 THEN 'references' ELSE 'cited_by' END"
+NEIGHBOURS = """own AS (SELECT DISTINCT o_custkey AS node, l_partkey AS part, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS dir FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+nb AS (SELECT node, part, dir, CASE WHEN part % 50 <> 7 THEN CASE WHEN part % 3 = 0 THEN 'title:' ELSE 'doi:10.1/' END || part END AS key, part % 3 > 0 AS verified, c_custkey AS slug
+  FROM own LEFT JOIN customer ON c_custkey = part AND c_custkey % 2 = 0)"""
+
+
+def walk_sql(name: str, seeds: list[int], known: str = "SELECT NULL WHERE false", most: int = expansion.MAX_NEW) -> str:
+    """CTEs that end in ``name`` (the walk) and ``name_met`` (each candidate where it was met), from ``nb``."""
+    told, out, met = ", ".join(f"({s}, [{i}::BIGINT])" for i, s in enumerate(seeds, 1)), [], []
+    ctes = [f"{name}_f1 AS (SELECT * FROM (VALUES {told}) f(node, pos))"]
+    for n in (1, 2):
+        p, used = f"{name}_", "0" if n == 1 else f"(SELECT count(*) FROM {name}_b1)"
+        ctes += [
+            f"{p}m{n} AS (SELECT n.*, list_concat(f.pos, [dir::BIGINT, part::BIGINT]) AS pos FROM nb n JOIN {p}f{n} f USING (node))",
+            f"{p}c{n} AS (SELECT key, min({{'pos': pos, 'v': verified, 'via': node, 'dir': dir}}) AS x FROM {p}m{n} WHERE slug IS NULL AND key IS NOT NULL AND key NOT IN ({known}) GROUP BY key)",
+            f"{p}b{n} AS (SELECT key, x.pos AS pos FROM {p}c{n} WHERE x.v QUALIFY row_number() OVER (ORDER BY x.pos) <= {most} - {used})",
+            f"{p}e{n} AS (SELECT CASE WHEN count(*) = {most} - {used} THEN max(pos) END AS cut FROM {p}b{n})",
+        ]
+        within = "(cut IS NULL OR {} <= cut)"
+        out.append(f"SELECT 'hit' AS kind, slug::VARCHAR AS item, node::VARCHAR AS via, {DIRECTION.format('dir')} AS direction, {n} AS depth, min(pos) AS pos FROM {p}m{n}, {p}e{n} WHERE slug IS NOT NULL AND {within.format('pos')} GROUP BY slug, node, dir")
+        out.append(f"SELECT CASE WHEN x.v THEN 'new' ELSE 'unverified' END, key, x.via::VARCHAR, {DIRECTION.format('x.dir')}, {n}, x.pos FROM {p}c{n}, {p}e{n} WHERE {within.format('x.pos')}")
+        met.append(f"SELECT DISTINCT key, node, dir, {n} AS depth FROM {p}m{n}, {p}e{n} WHERE slug IS NULL AND key IS NOT NULL AND {within.format('pos')}")
+        if n == 1:
+            ctes.append(f"{p}f2 AS (SELECT slug AS node, min(pos) AS pos FROM {p}m1, {p}e1 WHERE slug IS NOT NULL AND cut IS NULL AND slug NOT IN ({', '.join(map(str, seeds))}) GROUP BY slug)")
+            known = f"{known} UNION ALL SELECT key FROM {p}c1"
+    return ",\n".join([*ctes, f"{name} AS ({' UNION ALL '.join(out)})", f"{name}_met AS ({' UNION ALL '.join(met)})"])
+
+
+SEEDS = [1, 7, 12]
+WALK = f"{NEIGHBOURS},\n{walk_sql('walk', SEEDS)}"
+#: The path to a row as text.
+AT = """SELECT * EXCLUDE (pos), array_to_string(pos, '.') AS "at" FROM walk"""
+
+
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """``node, direction, place, key, verified, slug`` of customers as works."""
+    t = Star(spark, d).table
+    direction = F.when(F.col("l_returnflag") == "R", "references").otherwise("cited_by").alias("direction")
+    own = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("node"), F.col("l_partkey").alias("part"), direction).distinct()
+    library = t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("part"), _text("c_custkey").alias("slug"))
+    key = F.when(F.col("part") % 50 != 7, F.when(F.col("part") % 3 == 0, _node("title:", "part")).otherwise(_node("doi:10.1/", "part")))
+    return own.join(library, "part", "left").select(_text("node").alias("node"), "direction", F.col("part").alias("place"), key.alias("key"), (F.col("part") % 3 > 0).alias("verified"), "slug")
+
+
+def seeds(spark: SparkSession, keys: list[int]) -> DataFrame:
+    return spark.createDataFrame([(str(k), i) for i, k in enumerate(keys, 1)], "node string, seq int")
 
 
 def _walk(spark: SparkSession, d: str) -> DataFrame:
-    star = Star(spark, d)
-    own = star.table("lineitem").join(star.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("node"), F.col("l_partkey").alias("part")).distinct()
-    place = F.row_number().over(Window.partitionBy("node").orderBy("part"))
-    library = star.table("customer").select(F.col("c_custkey").alias("part"), _text("c_custkey").alias("slug"))
-    neighbours = own.withColumn("place", place).join(library, "part", "left").select(_text("node").alias("node"), "place", _node("doi:10.1/", "part").alias("key"), "slug")
-    return expansion.expand(spark.createDataFrame([("1", 1), ("7", 2), ("12", 3)], "node string, seq int"), neighbours)
+    return expansion.expand(seeds(spark, SEEDS), neighbours(spark, d))
 
 
-@query(f"WITH {WALK} SELECT * FROM walk")
+@query(f"WITH {WALK} {AT}")
 def g4_bounded_walk(spark: SparkSession, d: str) -> DataFrame:
-    return _walk(spark, d)
+    return _walk(spark, d).withColumn("at", F.array_join("at", "."))
 
 
-@query(f"WITH {WALK} SELECT count(*) FILTER (kind = 'new') AS used, count(*) FILTER (kind = 'hit') AS hits, count(*) FILTER (kind = 'new') >= 50 AS budget_reached FROM walk")
+@query(f"WITH {WALK} SELECT 50 AS max_new, count(*) FILTER (kind = 'new') AS used, CASE WHEN count(*) FILTER (kind = 'new') >= 50 THEN 'budget_reached' ELSE 'frontier_exhausted' END AS stop_reason FROM walk")
 def a15_budget(spark: SparkSession, d: str) -> DataFrame:
-    new = F.count(F.when(F.col("kind") == "new", 1))
-    return _walk(spark, d).agg(new.alias("used"), F.count(F.when(F.col("kind") == "hit", 1)).alias("hits"), (new >= expansion.MAX_NEW).alias("budget_reached"))
+    return expansion.budget(_walk(spark, d))
 
 
 POOL = """disc AS (SELECT o_orderkey AS seq, CASE WHEN o_custkey % 11 > 0 THEN 'doi:10.1/' || (o_custkey % 900) END AS key, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS title, year(o_orderdate)::INTEGER AS year,
@@ -311,7 +337,8 @@ def k13_merge_pools(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {WALK}, cand AS (SELECT 'doi:10.1/' || p_partkey AS key, any_value(p_name) AS title, count(*) AS n_occurrences, any_value(p_size) AS size FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)
-SELECT key, title, n_occurrences, CASE WHEN size > 25 THEN 'selected' END AS decision FROM cand WHERE key IN (SELECT item FROM walk WHERE kind = 'new')""")
+SELECT key, title, n_occurrences, CASE WHEN size > 25 THEN 'selected' END AS decision, 50 AS max_new, (SELECT count(*) FROM walk WHERE kind = 'new') AS used,
+  CASE WHEN (SELECT count(*) FROM walk WHERE kind = 'new') >= 50 THEN 'budget_reached' ELSE 'frontier_exhausted' END AS stop_reason FROM cand WHERE key IN (SELECT item FROM walk WHERE kind = 'new')""")
 def a19_review_batch(spark: SparkSession, d: str) -> DataFrame:
     t = Star(spark, d).table
     seen = t("part").join(t("lineitem"), F.col("l_partkey") == F.col("p_partkey"))

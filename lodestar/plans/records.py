@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as words
-from lodestar.operators import impact, network, records
+from lodestar.operators import fingerprints, impact, network, records
 from lodestar.plans.catalog import PARENTS
 from lodestar.plans.registry import query
 from lodestar.plans.retrieval import EVIDENCE
@@ -323,14 +325,31 @@ def a6_leading_pair(spark: SparkSession, d: str) -> DataFrame:
     return network.leading_pair(_tasks(spark, d))
 
 
-@query("SELECT count(*) AS n, sum(('0x' || substr(sha256(to_json({n_name: n_name, n_nationkey: n_nationkey::VARCHAR, n_regionkey: n_regionkey::VARCHAR})), 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM nation")
+def tree_sql(table: str, keys: list[str], columns: list[str], where: str = "level >= 0") -> str:
+    """The hash tree of a table of up to 256 to the third rows."""
+    text = lambda cs: "concat_ws('|', " + ", ".join(f"'{c}=' || coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in sorted(cs)) + ")"
+    node = "sha256(array_to_string(list_sort(list({0})), chr(10)))"
+    return f"""WITH own AS (SELECT md5({text(keys)}) AS place, {text(keys)} || ':' || sha256({text(columns)}) AS line, CASE WHEN (SELECT count(*) FROM {table}) <= 256 THEN 0 WHEN (SELECT count(*) FROM {table}) <= 65536 THEN 1 ELSE 2 END AS d FROM {table}),
+  l0 AS (SELECT d AS level, substr(place, 1, 2 * d) AS node, {node.format("line")} AS hash FROM own GROUP BY ALL),
+  l1 AS (SELECT level - 1 AS level, substr(node, 1, 2 * (level - 1)) AS node, {node.format("node || ':' || hash")} AS hash FROM l0 WHERE level > 0 GROUP BY ALL),
+  l2 AS (SELECT level - 1 AS level, substr(node, 1, 2 * (level - 1)) AS node, {node.format("node || ':' || hash")} AS hash FROM l1 WHERE level > 0 GROUP BY ALL)
+  SELECT level::INTEGER AS level, node, hash FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) WHERE {where}"""
+
+
+ORDER_MARKS = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+PAYLOAD = {"nation": (["n_nationkey"], ["n_name", "n_regionkey"]), "customer": (["c_custkey"], ["c_name", "c_nationkey", "c_mktsegment"]), "lineitem": (["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_returnflag"])}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS part, hash AS fingerprint FROM ({tree_sql(t, *of, 'level = 0')})" for t, of in PAYLOAD.items()))
 def k4_payload_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return network.fingerprint(Star(spark, d).table("nation"), "n_nationkey")
+    t = Star(spark, d).table
+    roots = [fingerprints.tree(t(name).select(*keys, *columns), keys).where("level = 0").select(F.lit(name).alias("part"), F.col("hash").alias("fingerprint")) for name, (keys, columns) in PAYLOAD.items()]
+    return reduce(DataFrame.union, roots)
 
 
-@query("SELECT count(*) AS n, sum(('0x' || substr(sha256(to_json({o_custkey: o_custkey::VARCHAR, o_orderkey: o_orderkey::VARCHAR, o_orderpriority: o_orderpriority, o_orderstatus: o_orderstatus})), 1, 15))::BIGINT)::VARCHAR AS fingerprint FROM orders")
+@query(tree_sql("orders", ["o_orderkey"], ORDER_MARKS))
 def k4_orders_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return network.fingerprint(Star(spark, d).table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
+    return fingerprints.tree(Star(spark, d).table("orders").select("o_orderkey", *ORDER_MARKS), ["o_orderkey"])
 
 
 # Policy counts.

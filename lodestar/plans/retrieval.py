@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import STOPWORDS, TERM
 from lodestar.operators import graph, retrieval
 from lodestar.plans.catalog import PARENTS
 from lodestar.plans.registry import query
@@ -49,8 +50,17 @@ every AS (
     FROM sides x JOIN sides y ON x.concept = y.concept AND x.domain < y.domain JOIN ev_nodes v ON v.id = x.concept WHERE axis IN ('pattern', 'function', 'failure-mode')),
 placed AS (SELECT a, c, row_number() OVER (PARTITION BY a, c ORDER BY rank, via) AS place, kind, axis, via, ends, side_a, side_b, n_a, n_c, count(*) OVER (PARTITION BY a, c) AS total FROM every),
 corridors AS (SELECT a, c, place::INTEGER AS place, kind, axis, via, ends, side_a, side_b, n_a, n_c, total, least(total, 15)::BIGINT AS returned, total > 15 AS truncated FROM placed WHERE place <= 15)"""
-TERMS = "['red', 'widget', 'suppliers', 'middle', 'east', 'lack', 'furniture', 'small', 'bolt', 'do', 'of', 'in', 'middle east', 'MIDDLE EAST']"
-HITS = f"""hits AS (SELECT id, kind, term FROM ev_nodes, unnest({TERMS}) t(term) WHERE CASE WHEN regexp_full_match(term, '[a-z0-9]+') THEN regexp_matches(text, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') ELSE contains(text, term) END),
+def terms_sql(question: str) -> str:
+    """``term, pos`` of a question: its own terms without stopwords, then names of regions in it."""
+    asked, stop = question.lower(), ", ".join(f"'{w}'" for w in STOPWORDS)
+    return f"""SELECT term, min(pos) AS pos FROM (
+  SELECT unnest(w) AS term, [0, generate_subscripts(w, 1)] AS pos FROM (SELECT regexp_extract_all('{asked}', '{TERM}') AS w)
+  UNION ALL SELECT unnest([lower(r_name), r_name]), [1, unnest([2 * k, 2 * k + 1])] FROM (SELECT r_name, row_number() OVER (ORDER BY r_name) AS k FROM region WHERE contains('{asked}', lower(r_name))
+    AND (NOT regexp_full_match(lower(r_name), '[a-z0-9]+') OR regexp_matches('{asked}', '(^|[^a-z0-9])' || lower(r_name) || '([^a-z0-9]|$)'))))
+  WHERE term NOT IN ({stop}) OR pos[1] = 1 GROUP BY term"""
+
+
+HITS = f"""terms AS ({terms_sql(QUESTION)}), hits AS (SELECT id, kind, term FROM ev_nodes, terms WHERE CASE WHEN regexp_full_match(term, '[a-z0-9]+') THEN regexp_matches(text, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') ELSE contains(text, term) END),
 concepts AS (SELECT id, 'concept:' || id || ' (term:' || term || ')' AS reason FROM hits WHERE kind IN ('concept', 'domain')),
 pointed AS (SELECT src AS node, reason FROM concepts JOIN ev_edges ON id = dst),
 by_terms AS (SELECT DISTINCT node, reason FROM (
@@ -64,8 +74,13 @@ reasons AS (SELECT DISTINCT node, reason FROM (SELECT node, reason FROM by_terms
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The evidence graph, written once: each of its tables is a join of several of the star's."""
     star = Star(spark, d)
-    return star.evidence_nodes(), star.evidence_parents(), star.evidence_edges()
+    return stored(star.evidence_nodes()), stored(star.evidence_parents()), stored(star.evidence_edges())
+
+
+def _bridges(nodes: DataFrame, parents: DataFrame, edges: DataFrame) -> retrieval.Bridges:
+    return retrieval.bridges(nodes, edges, stored(graph.domain_closure(parents)))
 
 
 def _terms(spark: SparkSession, d: str) -> list[str]:
@@ -73,14 +88,14 @@ def _terms(spark: SparkSession, d: str) -> list[str]:
     return retrieval.query_terms(QUESTION, regions)
 
 
-@query("SELECT unnest(['red', 'widget', 'do', 'suppliers', 'of', 'middle', 'east', 'lack', 'in', 'furniture', 'small', 'bolt', 'middle east', 'MIDDLE EAST']) AS term, generate_subscripts(range(14), 1)::INTEGER AS place")
+@query(f"SELECT term, (row_number() OVER (ORDER BY pos))::INTEGER AS place FROM ({terms_sql(QUESTION)})")
 def f6_query_terms(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(_terms(spark, d), 1)], "term string, place int")
 
 
 @query(f"WITH RECURSIVE {EVIDENCE}, {CORRIDORS}, {HITS} SELECT id, kind, term FROM hits")
 def f3_term_hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.term_hits(_graph(spark, d)[0], _terms(spark, d))
+    return retrieval.term_hits(Star(spark, d).evidence_nodes(), _terms(spark, d))
 
 
 @query("SELECT id, text FROM (WITH RECURSIVE " + EVIDENCE + " SELECT id, text FROM ev_nodes)")
@@ -101,22 +116,20 @@ def j16_works_of_claims(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {EVIDENCE}, {CORRIDORS} SELECT * FROM corridors")
 def q3_corridors(spark: SparkSession, d: str) -> DataFrame:
-    nodes, parents, edges = _graph(spark, d)
-    return retrieval.corridors(nodes, edges, stored(graph.domain_closure(parents)))
+    return retrieval.shown(retrieval.corridors(_bridges(*_graph(spark, d))))
 
 
 @query(f"WITH RECURSIVE {EVIDENCE}, {CORRIDORS} SELECT * FROM corridors WHERE a = 'domain:ASIA' AND c = 'domain:EUROPE'")
 def w8_corridors_of_a_pair(spark: SparkSession, d: str) -> DataFrame:
-    nodes, parents, edges = _graph(spark, d)
     pair = spark.createDataFrame([("domain:ASIA", "domain:EUROPE")], "a string, c string")
-    return retrieval.corridors(nodes, edges, stored(graph.domain_closure(parents)), pairs=pair)
+    return retrieval.shown(retrieval.corridors(_bridges(*_graph(spark, d)), pairs=pair))
 
 
 @query(f"WITH RECURSIVE {EVIDENCE}, {CORRIDORS} SELECT x.domain AS a, y.domain AS c, x.via, ends FROM touched x JOIN touched y ON x.via = y.via AND x.domain < y.domain JOIN ends e ON e.via = x.via QUALIFY row_number() OVER (PARTITION BY x.domain, y.domain ORDER BY x.via) <= 15")
 def j17_transfer_corridors(spark: SparkSession, d: str) -> DataFrame:
     nodes, parents, edges = _graph(spark, d)
     moving = edges.where("kind in ('transfer-from', 'transfer-to')")
-    return retrieval.corridors(nodes, moving, stored(graph.domain_closure(parents))).select("a", "c", "via", "ends")
+    return retrieval.shown(retrieval.corridors(_bridges(nodes, parents, moving))).select("a", "c", "via", "ends")
 
 
 @query(f"WITH RECURSIVE {EVIDENCE}, {CORRIDORS} SELECT DISTINCT a, c, total, returned, truncated FROM corridors")

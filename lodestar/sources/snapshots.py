@@ -1,51 +1,40 @@
-"""Snapshots of a graph on disk: tables beside each other, and a manifest that names the current one."""
+"""Snapshots of a graph on disk: tables beside each other, and numbered manifests of which the newest counts."""
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.operators.network import fingerprint
+from lodestar.operators.fingerprints import root
+from lodestar.sources.versions import newest, publish
 
 FORMAT = 1
 
 
-def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def manifest(spark: SparkSession, folder: str) -> dict | None:
     """What the current snapshot is; None where there is none."""
-    fs, place = _hadoop(spark, f"{folder}/manifest")
-    if not fs.exists(place):
-        return None
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{folder}/manifest").collect()))  # one line
+    return newest(spark, folder)
 
 
 def payload_fingerprint(tables: dict[str, DataFrame]) -> str:
-    """One line for all tables: each one's count and order-free hash."""
-    told = {name: fingerprint(frame, frame.columns[0]).first() for name, frame in sorted(tables.items())}
-    return ";".join(f"{name}:{r.n}:{r.fingerprint or 0}" for name, r in told.items())
+    """One line for all tables: the root of each one's hash tree, all columns being its key."""
+    return ";".join(f"{name}:{root(frame.distinct(), frame.columns)}" for name, frame in sorted(tables.items()))
 
 
 def write_snapshot(spark: SparkSession, folder: str, tables: dict[str, DataFrame], source: str, built_at: str) -> dict:
     """Write ``tables`` beside those of earlier snapshots, then let the manifest name them; readers see the old or the new one.
 
-    ``source`` is the fingerprint of what the tables were made from.
+    ``source`` is the fingerprint of what the tables were made from.  ``Conflict`` if another writer came first.
     """
-    mark = payload_fingerprint(tables)
-    told = {"format": FORMAT, "source": source, "payload": mark, "built_at": built_at, "tables": sorted(tables), "path": f"snap-{uuid.uuid4().hex}"}
+    before = newest(spark, folder) or {"version": 0}
+    path = f"data-{uuid.uuid4().hex}"
     for name, frame in tables.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{told['path']}/{name}")
-    spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest-next")
-    fs, place = _hadoop(spark, f"{folder}/manifest")
-    fs.delete(place, True)
-    fs.rename(_hadoop(spark, f"{folder}/manifest-next")[1], place)
-    return told
+        frame.write.parquet(f"{folder}/{path}/{name}")
+    written = {name: spark.read.parquet(f"{folder}/{path}/{name}") for name in tables}
+    told = {"format": FORMAT, "source": source, "payload": payload_fingerprint(written), "built_at": built_at, "tables": sorted(tables), "path": path}
+    return publish(spark, folder, told, before["version"] + 1)
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:

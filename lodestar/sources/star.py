@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 #: Line items of at least this quantity tie a customer or supplier to a part.
 MANY = 45
-#: Orders of at least this price are transfers between nations.
-LARGE = 490_000
+#: Orders of at least this price are transfers between nations; those under the other are what briefs rest on.
+LARGE, SMALL = 490_000, 20_000
+#: Line items of at least this quantity are what judgments on gaps rest on.
+MOST = 50
 AXES = ("pattern", "function", "failure-mode")
 
 
@@ -124,3 +126,36 @@ class Star:
             buyers.select(F.lit("transfer-from"), _id("transfer:order-", "o_orderkey"), F.col("place")).distinct(),
             sellers.select(F.lit("transfer-to"), _id("transfer:order-", "o_orderkey"), F.col("place")).distinct(),
         ])
+
+    def relations(self) -> DataFrame:
+        """``kind, src, dst``, each once: how claims bear on the gaps of the suppliers of their order."""
+        t = self.table
+        kind = F.when(F.col("l_returnflag") == "R", "disputes").when(F.col("l_returnflag") == "A", "supports").otherwise("partially_addresses")
+        sold = t("lineitem").where(F.col("l_quantity") >= MANY).join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return sold.select(kind.alias("kind"), self._claim().alias("src"), _id("gap:supplier-", "l_suppkey").alias("dst")).distinct()
+
+    def briefs(self) -> DataFrame:
+        """``id, topic, view, date, label``: one brief for each customer with small orders, on its nation, seen by its segment."""
+        t = self.table
+        last = t("orders").where(F.col("o_totalprice") < SMALL).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last"))
+        own = last.join(t("customer"), "c_custkey").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return own.select(_id("brief:customer-", "c_custkey").alias("id"), F.col("n_name").alias("topic"), F.col("c_mktsegment").alias("view"), F.date_format("last", "yyyy-MM-dd").alias("date"), _id("brief of ", "c_name").alias("label"))
+
+    def synthesis(self) -> DataFrame:
+        """``node, place, entry, ref``, each once: briefs rest on small orders by priority and on gaps of much that these bought, gaps on orders that bought most."""
+        t = self.table
+        first = F.substring("o_orderpriority", 1, 1)
+        small = t("orders").where(F.col("o_totalprice") < SMALL).select("o_orderkey", "o_custkey", first.cast("int").alias("place"), F.concat(F.lit("B"), first).alias("entry"))
+        bought = t("lineitem").where(F.col("l_quantity") >= MANY).select("l_orderkey", "l_suppkey", "l_quantity")
+        of_brief = _id("brief:customer-", "o_custkey").alias("node")
+        most = bought.where(F.col("l_quantity") >= MOST).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return reduce(DataFrame.union, [
+            small.select(of_brief, "place", "entry", self._claim().alias("ref")),
+            small.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).select(of_brief, "place", "entry", _id("gap:supplier-", "l_suppkey")),
+            most.select(_id("gap:supplier-", "l_suppkey"), F.lit(1), F.lit("S1"), self._claim()),
+        ]).distinct()
+
+    def research_nodes(self) -> DataFrame:
+        """``evidence_nodes`` and briefs."""
+        briefs = self.briefs().select("id", F.lit("brief").alias("kind"), "label", F.lit(None).cast("string").alias("axis"))
+        return self.evidence_nodes().union(briefs.withColumn("text", F.lower(F.concat_ws(" ", "label", "id"))))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import cards as C
+from lodestar.operators.fingerprints import tree
 
 # The vocabulary that cards are written in.
 AXES = ("domain", "task", "pattern", "function", "method", "metric", "failure-mode")
@@ -72,8 +73,8 @@ class Vault:
     Spark lists no files without a byte, so an empty card has no row anywhere, and no share in the fingerprint.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, only: DataFrame | None = None):
+        self.spark, self.folder, self.only = spark, folder.rstrip("/"), only
 
     def _exists(self, path: str) -> bool:
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,7 +87,12 @@ class Vault:
         # not the text reader, which has no row for an empty file
         read = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(f"{self.folder}/{kind}")
         found = read.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("content").cast("string").alias("text")).where("name <> 'INDEX.md'")
-        return found.select(F.concat(F.lit(f"{kind}/"), "name").alias("origin"), F.regexp_replace("name", r"\.md$", "").alias("slug"), "text")
+        found = found.select(F.concat(F.lit(f"{kind}/"), "name").alias("origin"), F.regexp_replace("name", r"\.md$", "").alias("slug"), "text")
+        return found if self.only is None else found.join(self.only.select(F.col("path").alias("origin")), "origin", "left_semi")
+
+    def within(self, paths: DataFrame) -> Vault:
+        """The same vault with the cards of ``path`` only; registries always count."""
+        return Vault(self.spark, self.folder, paths)
 
     def cards(self, kind: str) -> DataFrame:
         """``origin, slug, head, body, problem, fields``: cards cut into front matter and body.
@@ -223,12 +229,40 @@ class Vault:
         found.append(self.domains().agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("domains.md"), F.lit("no rows"), F.lit("")))
         return reduce(DataFrame.union, found)
 
-    def fingerprint(self) -> DataFrame:
-        """``fingerprint``: one SHA-256 over the paths and contents of all cards, in order of path components; one short line a file reaches the last task."""
+    def listing(self) -> DataFrame:
+        """``path, sha`` of every card and registry, in all folders."""
         read = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(self.folder)
         root = F.length(F.lit(self.folder.removeprefix("file:").rstrip("/")))
         path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?", ""), "^/+", "/")
-        line = read.select(F.substring(path, root + 2, F.length(path)).alias("path"), F.sha2("content", 256).alias("sha"))
-        line = line.select(F.split("path", "/").alias("parts"), F.concat_ws(":", "path", "sha").alias("line"))
-        rows = F.array_sort(F.collect_list(F.struct("parts", "line")))
-        return line.agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").cast("binary"), 256).alias("fingerprint"))
+        return read.select(F.substring(path, root + 2, F.length(path)).alias("path"), F.sha2("content", 256).alias("sha"))
+
+    def fingerprint(self) -> DataFrame:
+        """``fingerprint``: the root of the hash tree over the paths and contents of all cards."""
+        return tree(self.listing(), ["path"]).where("level = 0").select(F.col("hash").alias("fingerprint"))
+
+
+class CardTable(Vault):
+    """The same tables over cards that are rows of a table (``path, text``) and no files; paths are relative to the vault.
+
+    ``only`` (``path``) keeps some cards; registries always count.
+    """
+
+    def __init__(self, cards: DataFrame, only: DataFrame | None = None):
+        super().__init__(cards.sparkSession, "")
+        self.rows = cards if only is None else cards.join(only.select("path"), "path", "left_semi")
+        self.every = cards
+
+    def files(self, kind: str) -> DataFrame:
+        own = self.rows.where(F.startswith("path", F.lit(f"{kind}/")) & F.endswith("path", F.lit(".md")) & (F.size(F.split("path", "/")) == 2))
+        slug = F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "")
+        return own.select(F.col("path").alias("origin"), slug.alias("slug"), "text").where("slug <> 'INDEX'")
+
+    def _registry(self, name: str) -> DataFrame:
+        return self.every.where(F.col("path") == name).select(F.col("text").alias("value"))
+
+    def listing(self) -> DataFrame:
+        return self.rows.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+    def within(self, paths: DataFrame) -> CardTable:
+        """Of these cards, those of ``path``."""
+        return CardTable(self.every, paths)

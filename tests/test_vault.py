@@ -1,9 +1,8 @@
-import hashlib
 from pathlib import Path
 
 import pytest
 
-from lodestar.sources.vault import Vault
+from lodestar.sources.vault import CardTable, Vault
 
 FILES = {
     "domains.md": "# Domains\n\n| Slug | Name | Status |\n|---|---|---|\n| rivers | Rivers | live |\n| lakes | Lakes | live |\n| rivers | Running water | live |\n",
@@ -91,10 +90,28 @@ def test_problems(vault):
     ])
 
 
-def test_fingerprint(vault):
-    top = Path(vault.folder)
-    rows = [f"{p.relative_to(top).as_posix()}:{hashlib.sha256(p.read_bytes()).hexdigest()}" for p in sorted(top.rglob("*.md"))]
-    assert vault.fingerprint().first()[0] == hashlib.sha256("\n".join(rows).encode()).hexdigest()
+def test_fingerprint(vault, spark, tmp_path):
+    def of(files):
+        top = tmp_path / str(len(list(tmp_path.iterdir())))
+        for name, text in files.items():
+            (top / name).parent.mkdir(parents=True, exist_ok=True)
+            (top / name).write_text(text, encoding="utf-8")
+        return Vault(spark, str(top)).fingerprint().first()[0]
+
+    assert vault.fingerprint().first()[0] == of(FILES)
+    swapped = FILES | {"papers/one.md": FILES["papers/two.md"], "papers/two.md": FILES["papers/one.md"]}
+    assert len({of(FILES), of(swapped), of(FILES | {"papers/new.md": "x"}), of({k: v for k, v in FILES.items() if k != "papers/deep/er.md"})}) == 4
+    rows = spark.createDataFrame(list(FILES.items()), "path string, text string")
+    assert CardTable(rows.repartition(5)).fingerprint().first()[0] == of(FILES)
+
+
+def test_cards_in_a_table_are_read_like_files(vault, spark):
+    table = CardTable(spark.createDataFrame(list(FILES.items()), "path string, text string"))
+    for name in ("works", "claims", "gaps", "transfers", "briefs", "profiles", "concepts", "domains", "problems"):
+        assert sorted(map(str, getattr(table, name)().collect())) == sorted(map(str, getattr(vault, name)().collect())), name
+    only = spark.createDataFrame([("papers/one.md",)], "path string")
+    assert [r.slug for r in table.within(only).works().collect()] == ["one"] == [r.slug for r in vault.within(only).works().collect()]
+    assert table.within(only).concepts().count() == 3 and table.within(only).gaps().count() == 0
 
 
 def test_nothing_there(spark, tmp_path):
