@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.change import affected
+from lodestar.operators.ranking import round_robin
 from lodestar.sources.stored import stored
 
 DECISIONS = ("retain", "revise", "withdraw")
@@ -110,16 +111,44 @@ def resolve_updates(updates: DataFrame, reviews: DataFrame) -> DataFrame:
     """``updates`` after ``reviews`` (``node_id, entry, decision, note``), with ``outcome`` of each row.
 
     A review covers the events so far and resolves a pending judgment; one of an unknown decision, or without a
-    note, or of what is not pending, is refused.  Rows that none concerns have no outcome.
+    note, or of what is not pending, is refused.  Rows that none concerns have no outcome; of several reviews of one row
+    the first valid one counts, as what it resolves is not pending for the next.
     """
-    told = reviews.select("node_id", "entry", "decision", F.trim("note").alias("note"))
+    good = F.coalesce(F.col("decision").isin(*DECISIONS) & (F.trim("note") != ""), F.lit(False))
+    told = reviews.groupBy("node_id", "entry").agg(F.max(good).alias("good"))
     both = updates.join(told, ["node_id", "entry"], "left")
-    good = F.col("decision").isin(*DECISIONS) & (F.col("note") != "")
-    outcome = F.when(F.col("decision").isNull(), F.lit(None).cast("string")).when(~F.coalesce(good, F.lit(False)), "invalid_review").when(F.col("status") != "pending", "not_pending").otherwise("resolved")
-    done = outcome == "resolved"
+    outcome = F.when(F.col("good").isNull(), F.lit(None).cast("string")).when(~F.col("good"), "invalid_review").when(F.col("status") != "pending", "not_pending").otherwise("resolved")
+    done = F.coalesce(outcome == "resolved", F.lit(False))
     return both.select("node_id", "entry", "n_events", F.when(done, F.col("n_events")).otherwise(F.col("n_reviewed")).alias("n_reviewed"), F.when(done, "resolved").otherwise(F.col("status")).alias("status"), outcome.alias("outcome"))
 
 
+#: What an entry of the log of judgments holds, beside the ``node_id, entry`` that it concerns.
+LOG = "seq long, affected boolean, suggestions array<string>, decision string, note string"
+
+
+def _is_review() -> Column:
+    return F.coalesce(F.col("decision").isin(*DECISIONS) & (F.trim("note") != ""), F.lit(False))
+
+
+def reviewed_log(log: DataFrame) -> DataFrame:
+    """``node_id, entry, n_events, n_reviewed, status, suggestions`` of every judgment after its whole log (``LOG``).
+
+    A row of the log is a change (without a decision) or a review.  A change that affects the judgment is an event; a
+    valid review covers the events before it.  ``suggestions`` are those of the events that no review covers.
+    """
+    order = Window.partitionBy("node_id", "entry").orderBy("seq")
+    event = F.col("decision").isNull() & F.coalesce("affected", F.lit(False))
+    counted = log.where(F.col("decision").isNull() | _is_review()).withColumn("event", event).withColumn("n", F.sum(F.col("event").cast("long")).over(order))
+    state = counted.groupBy("node_id", "entry").agg(
+        F.max("n").alias("n_events"), F.coalesce(F.max(F.when(F.col("decision").isNotNull(), F.col("n"))), F.lit(0).cast("long")).alias("n_reviewed"), F.max(F.col("decision").isNull()).alias("told")
+    )
+    said = counted.where("event").join(state.select("node_id", "entry", "n_reviewed"), ["node_id", "entry"]).where("n > n_reviewed").select("node_id", "entry", F.explode("suggestions").alias("s"))
+    said = said.groupBy("node_id", "entry").agg(F.array_join(F.array_sort(F.collect_set("s")), "; ").alias("suggestions"))  # of a handful of texts
+    status = F.when(F.col("n_events") == 0, "unchanged").when(F.col("n_reviewed") < F.col("n_events"), "pending").otherwise("resolved")
+    out = state.where("told").join(said, ["node_id", "entry"], "left")  # reviews of what no change ever named are refused
+    return out.select("node_id", "entry", "n_events", "n_reviewed", status.alias("status"), F.coalesce("suggestions", F.lit("")).alias("suggestions"))
+
+
 def open_suggestions(events: DataFrame, reviewed: DataFrame) -> DataFrame:
     """``node_id, entry, suggestions``: distinct suggestions of the events (``node_id, entry, place, suggestion``) after those already reviewed (``node_id, entry, n_reviewed``)."""
     fresh = events.join(reviewed, ["node_id", "entry"], "left").where(F.col("place") > F.coalesce("n_reviewed", F.lit(0)))
@@ -149,8 +178,5 @@ def latest_briefs(briefs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def reserve_first(pools: DataFrame, cap: int = 15) -> DataFrame:
-    """``node, place``: the first of each pool (``pool, place, node``) before all others, then pools in turn, each node once, ``cap`` in all."""
-    turn = pools.withColumn("late", F.col("place") > 1)
-    first = turn.groupBy("node").agg(F.min(F.struct("late", "place", "pool")).alias("at")).select("node", "at.*")
-    kept = first.orderBy("late", "place", "pool").limit(max(1, cap))
-    return kept.select("node", F.row_number().over(Window.orderBy("late", "place", "pool")).alias("place"))  # over ``cap`` rows
+    """``node, place``: the first of each pool (``pool, at, node``, ``at`` unique within a pool) before all others, then pools in turn, each node once, ``cap`` in all."""
+    return round_robin(pools, "pool", "at", "node", max(1, cap)).select("node", F.col("turn").cast("int").alias("place"))

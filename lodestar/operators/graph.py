@@ -13,6 +13,8 @@ from lodestar.sources.stored import stored
 MAX_PAGE = 500
 #: Links between nodes that have children up to which one task closes them.
 AT_ONCE = 100_000
+#: Nodes of one neighbour whose pairs one task makes.
+HOT = 2000
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +118,23 @@ def context(node: str, parents: DataFrame, edges: DataFrame) -> DataFrame:
     return up.union(down).union(beside).union(out).union(into)
 
 
-def similar_nodes(edges: DataFrame, least: int = 2) -> DataFrame:
-    """``a, b, n``: pairs of nodes that share ``least`` neighbours or more."""
-    own = edges.select(F.col("src").alias("node"), F.col("dst").alias("via")).distinct()
-    pairs = own.alias("x").join(own.alias("y"), "via").where("x.node < y.node")
-    return pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def similar_nodes(edges: DataFrame, least: int = 2, hot: int = HOT) -> DataFrame:
+    """``a, b, n``: pairs of nodes that share ``least`` neighbours or more.
+
+    Of ``least`` shared neighbours one is not among the ``least - 1`` commonest of either node, so these bring no pair
+    together: a neighbour that nearly all nodes have costs nothing.  What pairs a neighbour of over ``hot`` nodes still
+    brings are made by several tasks, and counted on both nodes' neighbours, each pair once.
+    """
+    own = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("via")).distinct())
+    common = own.groupBy("via").agg(F.count(F.lit(1)).alias("m"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "via"))
+    rare = stored(own.join(common, "via").withColumn("r", rank).where(F.col("r") >= least).select("node", "via", F.ceil(F.col("m") / hot).cast("int").alias("salts")))
+    dealt = rare.select("node", "via", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
+    told = rare.select(F.col("node").alias("other"), "via", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    pairs = dealt.join(told, ["via", "salt"]).where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    lists = stored(own.groupBy("node").agg(F.collect_list("via").alias("all")))  # one node's own neighbours
+    both = pairs.join(lists.select(F.col("node").alias("a"), F.col("all").alias("x")), "a").join(lists.select(F.col("node").alias("b"), F.col("all").alias("y")), "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("n")).where(F.col("n") >= least)
 
 
 def unresolved(references: DataFrame, known: DataFrame, ref: str, key: str) -> DataFrame:

@@ -51,11 +51,12 @@ def title_bounds(titles: DataFrame, ratio: float = RATIO) -> DataFrame:
     return pairs.where(lengths).select(F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), (2 * common / both).alias("bound")).where(F.col("bound") >= ratio)
 
 
-def similar_titles(items: DataFrame, key: str, title: str, ratio: float = RATIO) -> DataFrame:
+def similar_titles(items: DataFrame, key: str, title: str, ratio: float = RATIO, among: DataFrame | None = None) -> DataFrame:
     """``a, b, score``: pairs of items whose normalised titles have a sequence-matching ratio of ``ratio`` or more, keys in order.
 
     Each different title is compared once, and only where ``title_bounds`` leave it open; the match itself is Arrow
-    batches, as Spark has no such function.  Items without a title are in no pair.
+    batches, as Spark has no such function.  Items without a title are in no pair.  ``among`` (``k``) keeps pairs of which one
+    item is among these.
     """
     base = stored(items.select(F.col(key).alias("k"), normal_title(title).alias("t")).where("t <> ''"))
 
@@ -66,8 +67,16 @@ def similar_titles(items: DataFrame, key: str, title: str, ratio: float = RATIO)
 
     match = F.pandas_udf(matched, T.DoubleType())
     # the order of the two texts can change the ratio; both are tried
-    told = title_bounds(base.select("t").distinct(), ratio).select("ta", "tb", F.greatest(match("ta", "tb"), match("tb", "ta")).alias("score")).where(F.col("score") >= ratio)
+    bounds = title_bounds(base.select("t").distinct(), ratio)
+    if among is not None:
+        mine = stored(base.join(among.select("k"), "k", "left_semi").select(F.col("t").alias("own")).distinct())
+        bounds = bounds.join(mine, F.col("ta") == F.col("own"), "left_semi").union(bounds.join(mine, F.col("tb") == F.col("own"), "left_semi")).distinct()
+    told = bounds.select("ta", "tb", F.greatest(match("ta", "tb"), match("tb", "ta")).alias("score")).where(F.col("score") >= ratio)
     told = stored(told.union(told.select("tb", "ta", "score")))
     equal = base.alias("x").join(base.alias("y"), "t").where("x.k < y.k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.lit(1.0).alias("score"))
     other = told.join(base.select(F.col("k").alias("a"), F.col("t").alias("ta")), "ta").join(base.select(F.col("k").alias("b"), F.col("t").alias("tb")), "tb").where("a < b")
-    return equal.union(other.select("a", "b", "score"))
+    pairs = equal.union(other.select("a", "b", "score"))
+    if among is None:
+        return pairs
+    mine = among.select("k").distinct()
+    return pairs.join(mine, F.col("a") == F.col("k"), "left_semi").union(pairs.join(mine, F.col("b") == F.col("k"), "left_semi")).distinct()

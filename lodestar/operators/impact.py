@@ -44,10 +44,38 @@ def bands_by_category(snapshots: DataFrame, quartiles: DataFrame) -> DataFrame:
     return out.select("work", "category", name.alias("band"), channel.alias("channel"), (channel == "venue").alias("coarse"))
 
 
-def refresh_buckets(works: DataFrame, records: DataFrame) -> DataFrame:
-    """``work, bucket``: updated where a record answers to the work's ``ref``, no_data without a ref or a record."""
-    found = works.join(records.select(F.col("ref").alias("answered"), F.lit(True).alias("known")), F.col("ref") == F.col("answered"), "left")
-    return found.select("work", F.when(F.col("ref").isNull(), "no_id").when(F.col("known"), "updated").otherwise("no_data").alias("bucket"))
+def refresh_buckets(works: DataFrame, records: DataFrame, live: bool = False) -> DataFrame:
+    """``work, bucket, why``: what became of each work (``work, ref``) when its record was asked for.
+
+    ``records`` has ``ref, error``: an answer, or why there was none.  ``updated`` has an answer; ``no_data`` has no identifier or,
+    where nothing was fetched live, no answer; ``errors`` are asks that failed live.
+    """
+    told = records.groupBy(F.col("ref").alias("asked")).agg(F.max(F.col("error").isNull()).alias("known"), F.min("error").alias("error"))
+    found = works.join(told, F.col("ref") == F.col("asked"), "left")
+    known = F.coalesce("known", F.lit(False))
+    bucket = F.when(F.col("ref").isNull(), "no_data").when(known, "updated").otherwise("errors" if live else "no_data")
+    why = F.when(F.col("ref").isNull(), "no_identifier").when(~known, F.coalesce("error", F.lit("cache_miss")))
+    return found.select("work", bucket.alias("bucket"), why.alias("why"))
+
+
+def refreshed(stored_snapshots: DataFrame, works: DataFrame, records: DataFrame) -> DataFrame:
+    """The stored snapshots with those of works that have an answer in their place; what has none is left untouched.
+
+    ``stored_snapshots`` has ``work`` and the fields of ``records`` (``ref, error`` and any others).
+    """
+    fields = [c for c in records.columns if c not in ("ref", "error")]
+    fresh = works.join(records.where("error is null"), "ref").select("work", *fields)
+    return fresh.unionByName(stored_snapshots.join(fresh.select("work"), "work", "left_anti").select("work", *fields))
+
+
+def with_quartiles(snapshots: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """``snapshots`` (``venue``) with ``quartiles``, a map from each category of the venue to its quartile; empty where the venue is unknown.
+
+    ``quartiles`` has ``venue, category, quartile``, venues in lower case.
+    """
+    each = quartiles.groupBy(F.col("venue").alias("place")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("category", "quartile")))).alias("quartiles"))  # categories of one venue
+    told = snapshots.join(each, F.lower("venue") == F.col("place"), "left").drop("place")
+    return told.withColumn("quartiles", F.coalesce("quartiles", F.create_map().cast("map<string,string>")))
 
 
 def citations_report(cards: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.ranking import numbered
+
 
 def in_scope(cards: DataFrame, scope: str) -> DataFrame:
     """Cards (``slug, domains``) of a scope: ``all``, ``domain:<slug>``, or one card's slug."""
@@ -14,8 +16,8 @@ def in_scope(cards: DataFrame, scope: str) -> DataFrame:
 
 
 def children(parents: DataFrame) -> DataFrame:
-    """``parent, child, place``: children of each parent in order, as rows; no parent's children are gathered in one value."""
-    return parents.distinct().withColumn("place", F.row_number().over(Window.partitionBy("parent").orderBy("child"))).select("parent", "child", "place")
+    """``parent, child, place``: children of each parent in order, as rows; no parent's children are gathered in one task."""
+    return numbered(parents.select("parent", "child").distinct(), ["parent"], ["child"]).withColumn("place", F.col("place").cast("int"))
 
 
 def resolved(references: DataFrame, works: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from lodestar.plans.catalog import ORDER_PARENTS, PARENTS
 from lodestar.plans.registry import query
 from lodestar.plans.retrieval import CLAIM, EVIDENCE
 from lodestar.sources.star import LARGE, Star
+from lodestar.sources.stored import state_folder
+from lodestar.sources.versions import KeyedTable
+from lodestar.streaming import updates
 
 KIND = "CASE l_returnflag WHEN 'R' THEN 'disputes' WHEN 'A' THEN 'supports' ELSE 'partially_addresses' END"
 SNAPSHOTS = f"""rel AS (SELECT {KIND} AS kind, {CLAIM} AS src, 'gap:supplier-' || l_suppkey AS dst, l_shipdate, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -202,8 +205,7 @@ def w4_newest_briefs(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT node, place > 1 AS late, place, pool FROM p QUALIFY row_number() OVER (PARTITION BY node ORDER BY place > 1, place, pool) = 1)
 SELECT node, (row_number() OVER (ORDER BY late, place, pool))::INTEGER AS place FROM (SELECT * FROM f ORDER BY late, place, pool LIMIT 15)""")
 def w6_reserve_first(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    pools = Star(spark, d).table("events").select(F.col("event_type").alias("pool"), F.col("user_id").alias("node"), F.row_number().over(order).alias("place"))
+    pools = Star(spark, d).table("events").select(F.col("event_type").alias("pool"), F.col("user_id").alias("node"), F.struct((-F.col("value")).alias("value"), "event_id").alias("at"))
     return evidence.reserve_first(pools)
 
 
@@ -234,9 +236,9 @@ def p3_context_pages(spark: SparkSession, d: str) -> DataFrame:
     return own.context("transfer:order-1", limit=20)
 
 
-@query("SELECT * FROM (VALUES ('domain', 0, 'domain'), ('concept', 1, 'concept'), ('work', 2, 'work'), ('work', 2, 'gap')) t(level, place, kind)")
+@query(f"WITH RECURSIVE {EVIDENCE} SELECT level, place, l.kind, count(id) AS n FROM (VALUES ('domain', 0, 'domain'), ('concept', 1, 'concept'), ('work', 2, 'work'), ('work', 2, 'gap')) l(level, place, kind) LEFT JOIN ev_nodes v ON v.kind = l.kind GROUP BY ALL")
 def f19_levels(spark: SparkSession, d: str) -> DataFrame:
-    return port.Port.levels(spark)
+    return _port(spark, d).sizes()
 
 
 @query("SELECT 'document:' || doc_id AS id, substr(text, 1, 200000) AS content, length(text) > 200000 AS truncated FROM documents UNION ALL SELECT 'page:' || page_id, substr(html, 1, 200000), length(html) > 200000 FROM pages")
@@ -368,3 +370,39 @@ def j12_citation_overlay(spark: SparkSession, d: str) -> DataFrame:
     records = customers.select(_node("doi-", "c_custkey").alias("doi"), _node("W", "k").alias("record"))
     sold = star.table("orders").join(star.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("k", F.col("o_custkey") % 1400)
     return expansion.citation_overlay(works, records, sold.select(_node("W", "k").alias("record"), _node("W", "l_partkey").alias("cited")))
+
+
+# The log of judgments: each event of a user is a change or a review of one of their entries.
+
+LOG = """log AS (SELECT 'gap:' || user_id AS node_id, event_type AS entry, event_id AS seq, event_id % 3 > 0 AS affected, ['s' || (event_id % 4), 't' || (event_id % 2)] AS suggestions,
+  CASE WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 5 = 0 THEN 'ignore' ELSE 'revise' END END AS decision, CASE WHEN event_id % 4 = 0 THEN ' ' ELSE 'read' END AS note FROM events)"""
+REVIEWED = f"""{LOG}, rel AS (SELECT *, decision IS NULL AND affected AS event FROM log WHERE decision IS NULL OR (decision IN ('retain', 'revise', 'withdraw') AND trim(note) <> '')),
+num AS (SELECT *, sum(event::INT) OVER (PARTITION BY node_id, entry ORDER BY seq) AS n FROM rel),
+st AS (SELECT node_id, entry, max(n)::BIGINT AS n_events, coalesce(max(n) FILTER (decision IS NOT NULL), 0)::BIGINT AS n_reviewed, bool_or(decision IS NULL) AS told FROM num GROUP BY ALL),
+said AS (SELECT node_id, entry, array_to_string(list_sort(list_distinct(flatten(list(suggestions)))), '; ') AS suggestions FROM num JOIN st USING (node_id, entry) WHERE event AND n > n_reviewed GROUP BY ALL)
+SELECT node_id, entry, n_events, n_reviewed, CASE WHEN n_events = 0 THEN 'unchanged' WHEN n_reviewed < n_events THEN 'pending' ELSE 'resolved' END AS status, coalesce(suggestions, '') AS suggestions FROM st LEFT JOIN said USING (node_id, entry) WHERE told"""
+
+
+def _log(events: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    return events.select(
+        _node("gap:", "user_id").alias("node_id"), F.col("event_type").alias("entry"), e.cast("long").alias("seq"), (e % 3 > 0).alias("affected"),
+        F.array(F.concat(F.lit("s"), (e % 4).cast("string")), F.concat(F.lit("t"), (e % 2).cast("string"))).alias("suggestions"),
+        F.when(e % 7 == 0, F.when(e % 5 == 0, "ignore").otherwise("revise")).alias("decision"), F.when(e % 4 == 0, " ").otherwise("read").alias("note"),
+    )
+
+
+@query(f"WITH {REVIEWED}")
+def t1_reviewed_log(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.reviewed_log(_log(Star(spark, d).table("events")))
+
+
+@query(f"WITH {REVIEWED}")
+def t1_streamed_log(spark: SparkSession, d: str) -> DataFrame:
+    """The same log as a stream: its state is kept between micro-batches, its judgments in a keyed table."""
+    events = Star(spark, d).table("events")
+    state = state_folder(spark, "judgments")
+    table = KeyedTable(spark, f"{state}/table", list(updates.KEYS), parts=8)
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern may be one file, a plain path not
+    updates.follow(_log(stream), table, f"{state}/checkpoint").awaitTermination()
+    return table.read()

@@ -13,6 +13,8 @@ from lodestar.plans.catalog import PARENTS
 from lodestar.plans.registry import query
 from lodestar.plans.retrieval import EVIDENCE
 from lodestar.sources.star import Star
+from lodestar.sources.stored import state_folder
+from lodestar.sources.versions import KeyedTable
 
 
 def _text(c: str) -> Column:
@@ -216,11 +218,33 @@ def a14_coverage(spark: SparkSession, d: str) -> DataFrame:
     return impact.coverage(k8_agreement(spark, d))
 
 
-@query("SELECT 'work-' || c_custkey AS work, CASE WHEN c_custkey % 6 = 0 THEN 'no_id' WHEN s_suppkey IS NOT NULL THEN 'updated' ELSE 'no_data' END AS bucket FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
-def a13_refresh_buckets(spark: SparkSession, d: str) -> DataFrame:
+ANSWERS = """works AS (SELECT 'work-' || c_custkey AS work, CASE WHEN c_custkey % 6 > 0 THEN c_custkey % 400 END AS ref FROM customer),
+answers AS (SELECT s_suppkey AS ref, s_name AS title, CASE WHEN s_acctbal < 0 THEN 'transport_error' END AS error FROM supplier)"""
+
+
+def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = Star(spark, d).table
-    works = t("customer").select(F.concat(F.lit("work-"), _text("c_custkey")).alias("work"), F.when(F.col("c_custkey") % 6 > 0, _text("c_custkey")).alias("ref"))
-    return impact.refresh_buckets(works, t("supplier").select(_text("s_suppkey").alias("ref")))
+    ref = F.when(F.col("c_custkey") % 6 > 0, (F.col("c_custkey") % 400).cast("string"))
+    works = t("customer").select(F.concat(F.lit("work-"), _text("c_custkey")).alias("work"), ref.alias("ref"))
+    return works, t("supplier").select(_text("s_suppkey").alias("ref"), F.col("s_name").alias("title"), F.when(F.col("s_acctbal") < 0, "transport_error").alias("error"))
+
+
+@query(f"""WITH {ANSWERS}, asked AS (SELECT live, work, w.ref, a.ref IS NOT NULL AND error IS NULL AS known, error FROM works w LEFT JOIN answers a ON a.ref = w.ref, (VALUES (false), (true)) l(live))
+SELECT live, work, CASE WHEN ref IS NULL THEN 'no_data' WHEN known THEN 'updated' WHEN live THEN 'errors' ELSE 'no_data' END AS bucket, CASE WHEN ref IS NULL THEN 'no_identifier' WHEN NOT known THEN coalesce(error, 'cache_miss') END AS why FROM asked""")
+def a13_refresh_buckets(spark: SparkSession, d: str) -> DataFrame:
+    works, answers = _answers(spark, d)
+    return reduce(DataFrame.union, [impact.refresh_buckets(works, answers, live).select(F.lit(live).alias("live"), "work", "bucket", "why") for live in (False, True)])
+
+
+@query(f"""WITH {ANSWERS}, old AS (SELECT work, 'before' AS title FROM works WHERE ref % 3 = 0 OR ref IS NULL), fresh AS (SELECT work, title FROM works JOIN answers USING (ref) WHERE error IS NULL)
+SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE work NOT IN (SELECT work FROM fresh)""")
+def s17_stored_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots stored by their works and refreshed: two merges into one keyed table, read again."""
+    works, answers = _answers(spark, d)
+    table = KeyedTable(spark, state_folder(spark, "impact"), ["work"], parts=8)
+    table.merge(works.where("ref % 3 = 0 or ref is null").select("work", F.lit("before").alias("title")))
+    table.merge(impact.refreshed(table.read().limit(0), works, answers))
+    return table.read()
 
 
 @query("""WITH c AS (SELECT p_partkey AS work, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'many' WHEN 2 THEN p_size || ' (2024-01)' ELSE p_size::VARCHAR END AS citations FROM part), s AS (SELECT l_partkey AS work, count(*) AS fetched FROM lineitem GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as words
-from lodestar.operators import graph, scopes
+from lodestar.operators import graph, impact, scopes
 from lodestar.plans.catalog import PARENTS
 from lodestar.plans.records import RECEIPTS, _receipts
 from lodestar.plans.registry import query
@@ -27,11 +27,6 @@ def s32_scope_cards(spark: SparkSession, d: str) -> DataFrame:
     return scopes.in_scope(cards, "domain:ASIA").select("slug")
 
 
-@query("SELECT c_custkey AS work, c_mktsegment AS segment, c_acctbal AS balance FROM customer")
-def s19_card_fields(spark: SparkSession, d: str) -> DataFrame:
-    return Star(spark, d).table("customer").select(F.col("c_custkey").alias("work"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
-
-
 @query(f"WITH {PARENTS} SELECT parent, child, (row_number() OVER (PARTITION BY parent ORDER BY child))::INTEGER AS place FROM (SELECT DISTINCT * FROM parents)")
 def a11_children(spark: SparkSession, d: str) -> DataFrame:
     return scopes.children(Star(spark, d).parents())
@@ -66,18 +61,23 @@ def j26_misplaced_observations(spark: SparkSession, d: str) -> DataFrame:
     return scopes.misplaced_observations(seen, t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("judgment")), t("part").where("p_size > 2").select(F.col("p_partkey").alias("material")))
 
 
-@query("SELECT p_partkey, p_brand, n_name AS quartile_of FROM part LEFT JOIN nation ON lower(n_name) = lower('nation_' || split_part(p_brand, '#', 2))")
+@query("""WITH q AS (SELECT DISTINCT lower(p_brand) AS venue, p_type AS category, 'Q' || (1 + (length(p_brand) + length(p_type)) % 4) AS quartile FROM part WHERE p_brand NOT IN ('Brand#3', 'Brand#7')),
+m AS (SELECT venue, array_to_string(list_sort(list(category || '=' || quartile)), '; ') AS quartiles FROM q GROUP BY venue) SELECT p_partkey AS work, p_brand AS venue, coalesce(quartiles, '') AS quartiles FROM part LEFT JOIN m ON m.venue = lower(p_brand)""")
 def j27_venue_quartiles(spark: SparkSession, d: str) -> DataFrame:
-    t = Star(spark, d).table
-    venue = F.lower(F.concat(F.lit("NATION_"), F.substring_index("p_brand", "#", -1)))
-    return t("part").withColumn("venue", venue).join(F.broadcast(t("nation").select(F.lower("n_name").alias("venue"), F.col("n_name").alias("quartile_of"))), "venue", "left").select("p_partkey", "p_brand", "quartile_of")
+    """Each work with the quartiles of its venue, by category; two venues have none."""
+    part = Star(spark, d).table("part")
+    quartile = F.concat(F.lit("Q"), (1 + (F.length("p_brand") + F.length("p_type")) % 4).cast("string"))
+    known = part.where(~F.col("p_brand").isin("Brand#3", "Brand#7")).select(F.lower("p_brand").alias("venue"), F.col("p_type").alias("category"), quartile.alias("quartile")).distinct()
+    told = impact.with_quartiles(part.select(F.col("p_partkey").alias("work"), F.col("p_brand").alias("venue")), known)
+    return told.select("work", "venue", F.array_join(F.array_sort(F.transform(F.map_entries("quartiles"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "; ").alias("quartiles"))
 
 
-@query("SELECT c_custkey, citations FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS citations FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) USING (c_custkey) WHERE citations IS NOT NULL")
+@query("SELECT c_custkey, citations FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS citations FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 4 > 0 GROUP BY 1) USING (c_custkey)")
 def j28_cards_with_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Every card, those without a snapshot too."""
     t = Star(spark, d).table
-    counts = t("orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("citations"))
-    return t("customer").select("c_custkey").join(counts, "c_custkey")
+    counts = t("orders").where("o_orderstatus = 'O' and o_custkey % 4 > 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("citations"))
+    return t("customer").select("c_custkey").join(counts, "c_custkey", "left")
 
 
 @query(f"WITH RECURSIVE {EVIDENCE} SELECT DISTINCT l_returnflag AS \"group\", domain FROM lineitem JOIN closure ON node = 'gap:supplier-' || l_suppkey")

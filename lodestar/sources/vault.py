@@ -32,6 +32,7 @@ ATTRIBUTIONS = ("author", "system")
 COMPARISONS = ("direct_response", "retrospective")
 OUTCOMES = ("supports", "questions", "inconclusive")
 BRIEF_KEYS = ("topic", "domain", "date", "view")
+CARD_FIELDS = ("source", "journal_if", "citations", "citations_date", "year", "domain", "weight")
 #: Which cards hold which tables.
 HELD = {"papers": ("Argument", "Conditions", "Evidence relations"), "gaps": ("Synthesis",), "transfers": ("Synthesis",), "briefs": ("Synthesis",)}
 
@@ -127,6 +128,12 @@ class Vault:
             F.filter(entries, lambda e: e["relation"].isin(*GAP_RELATIONS)).alias("gaps"),
         )
 
+    def card_fields(self, keys: tuple[str, ...] = CARD_FIELDS) -> DataFrame:
+        """``slug`` and some raw fields of each paper card, a list as its items joined by commas; null where the card has none.  Only front matter is parsed."""
+        cut = self.files("papers").select("slug", C.card_parts(F.col("text"))["head"].alias("head")).select("slug", C.head_map(F.col("head")).alias("fields"))
+        value = lambda k: F.when(C.is_list(F.col("fields")[k]), F.array_join(C.as_list(F.col("fields")[k]), ", ")).otherwise(C.as_scalar(F.col("fields")[k]))
+        return cut.select("slug", *[value(k).alias(k) for k in keys])
+
     def gaps(self) -> DataFrame:
         return self.cards("gaps").select("slug", "origin", self._field("type", "").alias("type"), self._field("status", "").alias("status"), self._list("concepts").alias("concepts"), self._list("related").alias("related"), F.array_join("body", "\n").alias("text"))
 

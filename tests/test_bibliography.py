@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import network
-from lodestar.sources import providers, snapshots
+from lodestar.operators import fingerprints
+from lodestar.sources import providers, snapshots, versions
 
 
 @pytest.mark.parametrize("name", sorted(providers.READERS))
@@ -61,8 +61,36 @@ def test_snapshots_are_built_once_and_drift_is_seen(spark, tmp_path):
     assert len(built) == 2 and snapshots.freshness(spark, folder, "s2") == "fresh"
 
 
-def test_fingerprints_see_values_and_not_order(spark):
-    a = spark.createDataFrame([(1, "a"), (2, None)], "k int, x string")
-    b = a.orderBy(F.desc("k")).repartition(3)
-    assert network.fingerprint(a, "k").first() == network.fingerprint(b, "k").first()
-    assert network.fingerprint(a, "k").first() != network.fingerprint(a.na.fill(""), "k").first()
+def test_hash_trees_see_values_and_not_partitions(spark):
+    a = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("v"), (F.col("id") % 50).cast("string"))).alias("x"))
+    whole = fingerprints.root(a, ["k"])
+    assert whole == fingerprints.root(a.orderBy(F.desc("k")).repartition(13), ["k"])
+    swapped = a.withColumn("x", F.when(F.col("k") == 1, "v2").when(F.col("k") == 2, "v1").otherwise(F.col("x")))
+    assert len({whole, fingerprints.root(swapped, ["k"]), fingerprints.root(a.na.fill(""), ["k"]), fingerprints.root(a.where("k > 0"), ["k"]), fingerprints.root(a.limit(0), ["k"])}) == 5
+    tree = fingerprints.tree(a, ["k"], 2)
+    sizes = {r.level: r["count"] for r in tree.groupBy("level").count().collect()}
+    assert sizes[0] == 1 and sizes[1] == 256 and sizes[2] > 2000
+    differing = tree.join(fingerprints.tree(swapped, ["k"], 2).withColumnRenamed("hash", "other"), ["level", "node"]).where("hash <> other")
+    assert {r.level: r["count"] for r in differing.groupBy("level").count().collect()} == {0: 1, 1: 2, 2: 2}
+
+
+def test_marks_of_parts(spark):
+    a = spark.range(500).select(F.col("id").alias("k"), F.lit("x").alias("x"))
+    b = a.withColumn("x", F.when(F.col("k") == 77, "y").otherwise(F.col("x")))
+    marks = lambda rows: {r.part: r.hash for r in fingerprints.part_marks(rows, ["k"], 16).collect()}
+    one, two = marks(a), marks(b.repartition(3))
+    assert len(one) == 16 and sum(one[p] != two[p] for p in one) == 1
+
+
+def test_a_snapshot_is_one_version_or_the_next(spark, tmp_path):
+    folder = f"file://{tmp_path}/s"
+    table = lambda n: {"t": spark.range(n)}
+    assert snapshots.manifest(spark, folder) is None and snapshots.freshness(spark, folder, "a") == "absent"
+    snapshots.write_snapshot(spark, folder, table(3), "a", "t1")
+    old = snapshots.read_snapshot(spark, folder)["t"]
+    snapshots.write_snapshot(spark, folder, table(5), "b", "t2")
+    assert old.count() == 3 and snapshots.read_snapshot(spark, folder)["t"].count() == 5
+    assert snapshots.freshness(spark, folder, "a") == "stale" and snapshots.freshness(spark, folder, "b") == "fresh"
+    with pytest.raises(versions.Conflict):
+        versions.publish(spark, folder, {}, 2)
+    assert versions.newest(spark, folder)["built_at"] == "t2"

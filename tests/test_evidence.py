@@ -116,15 +116,45 @@ def test_reviews_cover_events_and_later_changes_reopen(spark):
     assert rows(evidence.merge_updates(done, changes), "node_id", "n_events", "n_reviewed", "status") == [("a", 2, 1, "pending"), ("b", 0, 0, "unchanged"), ("c", 0, 0, "unchanged")]
 
 
+NEIGHBOURS = "node string, direction string, place int, key string, verified boolean, slug string"
+WALK = [
+    ("s", "cited_by", 1, "k1", True, None), ("s", "references", 2, "x", True, "h"), ("s", "references", 9, "title:t", False, None), ("s", "cited_by", 3, "k2", True, None), ("s", "cited_by", 4, "y", True, "s"),
+    ("s", "cited_by", 2, "x", True, "h"), ("s", "cited_by", 5, None, False, None),
+    ("h", "references", 1, "k1", True, None), ("h", "references", 2, "k3", True, None), ("h", "cited_by", 3, "z", True, "g"), ("g", "references", 1, "k4", True, None), ("h", "references", 4, "title:t", False, None),
+]
+
+
 def test_walk_stops_at_its_budget_and_hits_walk_on(spark):
-    neighbours = spark.createDataFrame([("s", 1, "k1", None), ("s", 2, "x", "h"), ("s", 3, "k2", None), ("s", 4, "y", "s"), ("h", 1, "k1", None), ("h", 2, "k3", None), ("h", 3, "z", "g"), ("g", 1, "k4", None), ("s", 5, None, None)], "node string, place int, key string, slug string")
+    neighbours = spark.createDataFrame(WALK, NEIGHBOURS)
     seeds = spark.createDataFrame([("s", 1)], "node string, seq int")
     full = expansion.expand(seeds, neighbours)
     assert rows(full.where("kind = 'new'"), "item", "depth") == [("k1", 1), ("k2", 1), ("k3", 2)]
-    assert rows(full.where("kind = 'hit'"), "item", "depth") == [("g", 2), ("h", 1), ("s", 1)]
+    assert rows(full.where("kind = 'unverified'"), "item", "depth") == [("title:t", 1)]
+    assert rows(full.where("kind = 'hit'"), "item", "direction", "depth") == [("g", "cited_by", 2), ("h", "cited_by", 1), ("h", "references", 1), ("s", "cited_by", 1)]
     assert expansion.stop_reason(full) == "frontier_exhausted"
     short = expansion.expand(seeds, neighbours, max_new=1)
-    assert rows(short, "kind", "item") == [("new", "k1")] and expansion.stop_reason(short, 1) == "budget_reached"
+    assert rows(short, "kind", "item", "direction") == [("hit", "h", "references"), ("new", "k1", "cited_by"), ("unverified", "title:t", "references")]
+    assert expansion.stop_reason(short, 1) == "budget_reached"
+    assert rows(expansion.budget(short, 1), "max_new", "used", "stop_reason") == [(1, 1, "budget_reached")]
+
+
+def test_candidates_without_identifiers_use_no_budget(spark):
+    found = [("s", "references", i, k, k.startswith("doi"), None) for i, k in enumerate(["title:a", "title:b", "doi:c", "doi:d", "doi:e"])]
+    got = expansion.expand(spark.createDataFrame([("s", 1)], "node string, seq int"), spark.createDataFrame(found, NEIGHBOURS), max_new=2)
+    assert rows(got, "kind", "item") == [("new", "doi:c"), ("new", "doi:d"), ("unverified", "title:a"), ("unverified", "title:b")]
+    known = spark.createDataFrame([("doi:c",), ("title:b",)], "key string")
+    got = expansion.expand(spark.createDataFrame([("s", 1)], "node string, seq int"), spark.createDataFrame(found, NEIGHBOURS), max_new=2, known=known)
+    assert rows(got, "kind", "item") == [("new", "doi:d"), ("new", "doi:e"), ("unverified", "title:a")]
+
+
+def test_a_level_tells_what_it_left_out(spark):
+    frontier = spark.createDataFrame([("s", [1]), ("h", [2]), ("lost", [3])], "node string, at array<long>")
+    met = expansion.level(frontier, spark.createDataFrame(WALK, NEIGHBOURS), 1, 50, identified=spark.createDataFrame([("s",), ("h",)], "node string"), walked=frontier.select("node"))
+    assert rows(met.warnings, "warning") == [("no_ids:lost",), ("unidentifiable:s",)]
+    assert rows(met.expanded, "node") == [("h",), ("s",)] and rows(met.frontier, "node") == [("g",)] and met.used == 3
+    cut = expansion.level(frontier, spark.createDataFrame(WALK, NEIGHBOURS), 1, 1, walked=frontier.select("node"))
+    assert rows(cut.expanded, "node") == [] and rows(cut.frontier, "node") == [("h",), ("lost",)] and cut.used == 1
+    assert rows(cut.met, "key") == [("k1",), ("title:t",)]
 
 
 def test_decisions_stay_in_the_batch_and_under_the_cap(spark):
