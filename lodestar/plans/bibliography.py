@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,3 +122,52 @@ def k1_index_snapshot(spark: SparkSession, d: str) -> DataFrame:
     states += [snapshots.freshness(spark, folder, s) for s in ("source-1", "source-2")]
     counts = [tables[t].groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("part"), "kind", "n") for t in ("nodes", "edges")]
     return counts[0].union(counts[1]).union(spark.createDataFrame([("freshness", " ".join(states), 1)], "part string, kind string, n long"))
+
+
+# Answers that list several works: an order's lines are what was found for it, or what cites it.
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """``o_orderkey, n, items``: ``l_linenumber, l_partkey`` of each order in order."""
+    lines = Star(spark, d).table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    return lines.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items")).withColumn("k", _text("o_orderkey"))  # one order's lines
+
+
+def _answer(provider: str, items: Column) -> Column:
+    """A search's answer of a provider that names ``items``."""
+    part = lambda x: x["l_partkey"].cast("string")
+    if provider == "openalex":
+        one = lambda x: F.struct(F.concat(F.lit("https://openalex.org/W"), part(x)).alias("id"), F.concat(F.lit("https://doi.org/10.1/P"), part(x)).alias("doi"), F.concat(F.lit("part "), part(x)).alias("display_name"))
+        return F.to_json(F.struct(F.transform(items, one).alias("results")))
+    if provider == "crossref":
+        one = lambda x: F.struct(F.concat(F.lit("10.1/P"), part(x)).alias("DOI"), F.array(F.concat(F.lit("part "), part(x))).alias("title"))
+        return F.to_json(F.struct(F.struct(F.transform(items, one).alias("items")).alias("message")))
+    if provider == "semanticscholar":
+        one = lambda x: F.struct(F.concat(F.lit("s"), part(x)).alias("paperId"), F.concat(F.lit("part "), part(x)).alias("title"), F.struct(F.concat(F.lit("10.1/P"), part(x)).alias("DOI")).alias("externalIds"))
+        return F.to_json(F.struct(F.transform(items, one).alias("data")))
+    entry = lambda x: F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401."), part(x), F.lit("v3</id><published>2024-01-02</published><title>part\n "), part(x), F.lit("</title></entry>"))
+    return F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), F.array_join(F.transform(items, entry), ""), F.lit("</feed>"))
+
+
+@query("""SELECT provider, l_orderkey AS o_orderkey, (row_number() OVER (PARTITION BY provider, l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INTEGER AS place, CASE provider WHEN 'openalex' THEN 'W' || l_partkey WHEN 'semanticscholar' THEN 's' || l_partkey WHEN 'arxiv' THEN '2401.' || l_partkey END AS own,
+  CASE WHEN provider <> 'arxiv' THEN '10.1/p' || l_partkey END AS doi, 'part ' || l_partkey AS title FROM lineitem, unnest(['openalex', 'crossref', 'semanticscholar', 'arxiv']) p(provider)""")
+def s22_search_results(spark: SparkSession, d: str) -> DataFrame:
+    lists, out = _lists(spark, d), []
+    for provider in providers.READERS:
+        found = lists.select("o_orderkey", F.posexplode(providers.search(provider, _answer(provider, F.col("items")))).alias("place", "r"))
+        out.append(found.select(F.lit(provider).alias("provider"), "o_orderkey", "place", F.coalesce("r.openalex", "r.s2", "r.arxiv").alias("own"), "r.doi", "r.title"))
+    return reduce(DataFrame.union, out)
+
+
+@query("""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT 'openalex' AS provider, l_orderkey AS o_orderkey, n AS count, 'W' || l_partkey AS own, '10.1/p' || l_partkey AS doi FROM lineitem JOIN n USING (l_orderkey)
+UNION ALL SELECT 'semanticscholar', l_orderkey, NULL, 's' || l_partkey, '10.1/p' || l_partkey FROM lineitem UNION ALL SELECT 'crossref', l_orderkey, n, NULL, NULL FROM n""")
+def s24_cited_by(spark: SparkSession, d: str) -> DataFrame:
+    lists, size = _lists(spark, d), F.size("items")
+    citing = F.transform("items", lambda x: F.struct(F.struct(F.concat(F.lit("s"), x["l_partkey"].cast("string")).alias("paperId"), F.struct(F.concat(F.lit("10.1/P"), x["l_partkey"].cast("string")).alias("DOI")).alias("externalIds")).alias("citingPaper")))
+    answers = {
+        "openalex": providers.cited_by("openalex", F.to_json(F.struct(size.alias("cited_by_count"))), _answer("openalex", F.col("items"))), "semanticscholar": providers.cited_by("semanticscholar", F.to_json(F.struct(citing.alias("data")))),
+        "crossref": providers.cited_by("crossref", F.to_json(F.struct(F.struct(size.alias("is-referenced-by-count")).alias("message")))),
+    }
+    rows = [lists.select(F.lit(p).alias("provider"), "o_orderkey", a.alias("c")).select("provider", "o_orderkey", "c.count", F.explode_outer("c.items").alias("x")) for p, a in answers.items()]
+    return reduce(DataFrame.union, rows).select("provider", "o_orderkey", "count", F.coalesce("x.openalex", "x.s2").alias("own"), "x.doi")

@@ -26,6 +26,7 @@ CROSSREF = (
 )
 PAPER = "paperId:string,title:string,externalIds:struct<DOI:string,ArXiv:string>"
 SCHOLAR = "paperId string, title string, year int, venue string, citationCount long, externalIds struct<DOI:string,ArXiv:string>"
+SCHOLAR_FIELDS = "title,year,venue,citationCount,externalIds"
 SCHOLAR_LIST = f"data array<struct<citedPaper:struct<{PAPER}>,citingPaper:struct<{PAPER}>>>"
 ADDRESSES = {
     "openalex": "https://api.openalex.org/works/", "crossref": "https://api.crossref.org/works/",
@@ -42,8 +43,7 @@ def _filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def openalex(payload: Column) -> Column:
-    w = F.from_json(payload, OPENALEX)
+def _openalex_of(w: Column) -> Column:
     source = w["primary_location"]["source"]
     names = F.filter(F.transform(w["topics"], lambda t: t["display_name"]), lambda n: n.isNotNull() & (n != ""))
     return _record(
@@ -52,8 +52,11 @@ def openalex(payload: Column) -> Column:
     )
 
 
-def crossref(payload: Column) -> Column:
-    m = F.from_json(payload, CROSSREF)["message"]
+def openalex(payload: Column) -> Column:
+    return _openalex_of(F.from_json(payload, OPENALEX))
+
+
+def _crossref_of(m: Column) -> Column:
     first = lambda c: F.get(c, F.lit(0))
     return _record(
         "crossref", doi=clean_doi(m["DOI"]), title=first(m["title"]), year=first(first(m["issued"]["date-parts"])), venue=first(m["container-title"]), citations=m["is-referenced-by-count"],
@@ -61,11 +64,18 @@ def crossref(payload: Column) -> Column:
     )
 
 
-def semantic_scholar(payload: Column) -> Column:
-    p = F.from_json(payload, SCHOLAR)
+def crossref(payload: Column) -> Column:
+    return _crossref_of(F.from_json(payload, CROSSREF)["message"])
+
+
+def _scholar_of(p: Column) -> Column:
     return _record("semanticscholar", s2=p["paperId"], doi=clean_doi(p["externalIds"]["DOI"]), arxiv=p["externalIds"]["ArXiv"], title=p["title"], year=p["year"], venue=_filled(p["venue"]), citations=p["citationCount"], categories=F.array().cast("array<string>"))
 
 
+def semantic_scholar(payload: Column) -> Column:
+    return _scholar_of(F.from_json(payload, SCHOLAR))
+
+
 def arxiv(feed: Column) -> Column:
     """The first entry of an Atom feed; null fields where there is none."""
     of = lambda tag: F.xpath_string(feed, F.lit(f"/feed/entry[1]/{tag}"))
@@ -77,6 +87,52 @@ def arxiv(feed: Column) -> Column:
 READERS: dict[str, Callable[[Column], Column]] = {"openalex": openalex, "crossref": crossref, "semanticscholar": semantic_scholar, "arxiv": arxiv}
 
 
+def search(provider: str, payload: Column) -> Column:
+    """``array`` of the records (as ``READERS`` give them) of an answer to a search, in its order; null where it does not parse."""
+    if provider == "openalex":
+        return F.transform(F.from_json(payload, f"results array<struct<{OPENALEX}>>")["results"], _openalex_of)
+    if provider == "crossref":
+        return F.transform(F.from_json(payload, f"message struct<items:array<{CROSSREF.removeprefix('message ')}>>")["message"]["items"], _crossref_of)
+    if provider == "semanticscholar":
+        return F.transform(F.from_json(payload, f"data array<struct<{SCHOLAR}>>")["data"], _scholar_of)
+    texts = lambda tag: F.xpath(payload, F.lit(f"/feed/entry/{tag}/text()"))
+    entries = F.arrays_zip(texts("id").alias("id"), texts("title").alias("title"), texts("published").alias("published"))
+
+    def record(e: Column) -> Column:
+        number = without_version(F.substring_index(e["id"], "/abs/", -1))
+        return _record("arxiv", arxiv=_filled(number), title=_filled(one_line(e["title"])), year=year_of(e["published"]), venue=F.lit("arXiv"), categories=F.array().cast("array<string>"), preprint=F.lit(True))
+
+    return F.transform(entries, record)
+
+
+def search_address(provider: str, words: Column, limit: int = 10) -> Column:
+    """Where a provider answers a search, for 1 to 50 records."""
+    n = max(1, min(int(limit), 50))
+    asked = {"openalex": ("works?search=", f"&per-page={n}"), "crossref": ("works?query=", f"&rows={n}"), "semanticscholar": ("paper/search?query=", f"&limit={n}&fields={SCHOLAR_FIELDS}"), "arxiv": ("query?search_query=all:", f"&max_results={n}")}
+    before, after = asked[provider]
+    base = ADDRESSES[provider].removesuffix("works/").removesuffix("paper/").removesuffix("query?id_list=")
+    return F.concat(F.lit(base + before), F.replace(words, F.lit(" "), F.lit("+")), F.lit(after))
+
+
+def cited_by(provider: str, payload: Column, listing: Column | None = None) -> Column:
+    """``struct<count, items>``: how many works cite one, and those that the answers name, as ``references`` gives them.
+
+    OpenAlex counts in the work's own ``payload`` and lists in a second answer; Crossref only counts; Semantic Scholar only lists; arXiv says nothing.
+    """
+    none = F.lit(None).cast("string")
+    lite = lambda r: F.struct(r["openalex"].alias("openalex"), r["doi"].alias("doi"), r["s2"].alias("s2"), r["title"].alias("title"))
+    no_items = F.array().cast("array<struct<openalex:string,doi:string,s2:string,title:string>>")
+    if provider == "openalex":
+        found = F.transform(search("openalex", listing), lite) if listing is not None else no_items
+        return F.struct(F.from_json(payload, OPENALEX)["cited_by_count"].alias("count"), F.coalesce(found, no_items).alias("items"))
+    if provider == "crossref":
+        return F.struct(F.from_json(payload, CROSSREF)["message"]["is-referenced-by-count"].alias("count"), no_items.alias("items"))
+    if provider == "semanticscholar":
+        citing = F.transform(F.from_json(payload, SCHOLAR_LIST)["data"], lambda r: F.struct(none.alias("openalex"), clean_doi(r["citingPaper"]["externalIds"]["DOI"]).alias("doi"), r["citingPaper"]["paperId"].alias("s2"), r["citingPaper"]["title"].alias("title")))
+        return F.struct(F.lit(None).cast("long").alias("count"), F.coalesce(citing, no_items).alias("items"))
+    raise ValueError(f"{provider} has no citations")
+
+
 def references(provider: str, payload: Column) -> Column:
     """``array<struct<openalex, doi, s2, title>>`` that a payload refers to; arXiv says nothing of references."""
     none = F.lit(None).cast("string")

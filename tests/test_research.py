@@ -158,7 +158,7 @@ def test_context_against_card_by_card(spark, seed):
 
 
 def test_a_broad_first_query_leaves_room_for_the_others(spark):
-    nodes, parents, edges, relations, held, synthesis = world(4, works=5, briefs=0)
+    nodes, parents, edges, relations, held, synthesis = world(4, works=20, briefs=0)
     nodes += [(f"work:aaa{i:02d}", "work", "broadtopic", None, f"broadtopic work:aaa{i:02d}") for i in range(30)] + [("work:zz", "work", "rareword", None, "rareword work:zz")]
     context = research.research_context(frames(spark, (nodes, parents, edges, relations, held, synthesis)), "broadtopic", ["rareword", "broadtopic", "never read"])
     picked = [r.node for r in context["candidates"].orderBy("place").collect()]
