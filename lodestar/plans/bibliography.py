@@ -160,8 +160,8 @@ def s22_search_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT 'openalex' AS provider, l_orderkey AS o_orderkey, n AS count, 'W' || l_partkey AS own, '10.1/p' || l_partkey AS doi FROM lineitem JOIN n USING (l_orderkey)
-UNION ALL SELECT 'semanticscholar', l_orderkey, NULL, 's' || l_partkey, '10.1/p' || l_partkey FROM lineitem UNION ALL SELECT 'crossref', l_orderkey, n, NULL, NULL FROM n""")
+SELECT 'openalex' AS provider, l_orderkey AS o_orderkey, n::VARCHAR AS count, 'W' || l_partkey AS own, '10.1/p' || l_partkey AS doi FROM lineitem JOIN n USING (l_orderkey)
+UNION ALL SELECT 'semanticscholar', l_orderkey, NULL, 's' || l_partkey, '10.1/p' || l_partkey FROM lineitem UNION ALL SELECT 'crossref', l_orderkey, n::VARCHAR, NULL, NULL FROM n""")
 def s24_cited_by(spark: SparkSession, d: str) -> DataFrame:
     lists, size = _lists(spark, d), F.size("items")
     citing = F.transform("items", lambda x: F.struct(F.struct(F.concat(F.lit("s"), x["l_partkey"].cast("string")).alias("paperId"), F.struct(F.concat(F.lit("10.1/P"), x["l_partkey"].cast("string")).alias("DOI")).alias("externalIds")).alias("citingPaper")))
@@ -170,4 +170,4 @@ def s24_cited_by(spark: SparkSession, d: str) -> DataFrame:
         "crossref": providers.cited_by("crossref", F.to_json(F.struct(F.struct(size.alias("is-referenced-by-count")).alias("message")))),
     }
     rows = [lists.select(F.lit(p).alias("provider"), "o_orderkey", a.alias("c")).select("provider", "o_orderkey", "c.count", F.explode_outer("c.items").alias("x")) for p, a in answers.items()]
-    return reduce(DataFrame.union, rows).select("provider", "o_orderkey", "count", F.coalesce("x.openalex", "x.s2").alias("own"), "x.doi")
+    return reduce(DataFrame.union, rows).select("provider", "o_orderkey", _text("count").alias("count"), F.coalesce("x.openalex", "x.s2").alias("own"), "x.doi")

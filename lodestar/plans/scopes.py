@@ -72,12 +72,12 @@ def j27_venue_quartiles(spark: SparkSession, d: str) -> DataFrame:
     return told.select("work", "venue", F.array_join(F.array_sort(F.transform(F.map_entries("quartiles"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "; ").alias("quartiles"))
 
 
-@query("SELECT c_custkey, citations FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS citations FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 4 > 0 GROUP BY 1) USING (c_custkey)")
+@query("SELECT c_custkey, citations::VARCHAR AS citations FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS citations FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 4 > 0 GROUP BY 1) USING (c_custkey)")
 def j28_cards_with_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Every card, those without a snapshot too."""
     t = Star(spark, d).table
     counts = t("orders").where("o_orderstatus = 'O' and o_custkey % 4 > 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("citations"))
-    return t("customer").select("c_custkey").join(counts, "c_custkey", "left")
+    return t("customer").select("c_custkey").join(counts, "c_custkey", "left").select("c_custkey", _text("citations").alias("citations"))
 
 
 @query(f"WITH RECURSIVE {EVIDENCE} SELECT DISTINCT l_returnflag AS \"group\", domain FROM lineitem JOIN closure ON node = 'gap:supplier-' || l_suppkey")

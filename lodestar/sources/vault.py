@@ -7,6 +7,7 @@ registries are single files.  Nothing is repaired silently: what does not parse
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import cards as C
 from lodestar.operators.fingerprints import tree
+from lodestar.sources.stored import stored
 
 # The vocabulary that cards are written in.
 AXES = ("domain", "task", "pattern", "function", "method", "metric", "failure-mode")
@@ -76,6 +78,14 @@ class Vault:
 
     def __init__(self, spark: SparkSession, folder: str, only: DataFrame | None = None):
         self.spark, self.folder, self.only = spark, folder.rstrip("/"), only
+        self._kept: dict[tuple[str, str], DataFrame] = {}
+
+    def keep(self) -> Vault:
+        """The same vault with its cards cut, and the rows of their tables read, once for all that is asked of it."""
+        kept = copy.copy(self)
+        kept._kept = {("cards", kind): stored(self.cards(kind)) for kind in HELD}
+        kept._kept |= {("rows", kind): stored(kept._rows(kind)) for kind in HELD}
+        return kept
 
     def _exists(self, path: str) -> bool:
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -100,6 +110,8 @@ class Vault:
 
         A brief needs no front matter, and only a few of its keys count.
         """
+        if ("cards", kind) in self._kept:
+            return self._kept["cards", kind]
         cut = self.files(kind).select("origin", "slug", "text", C.card_parts(F.col("text")).alias("p")).select("origin", "slug", "text", "p.head", "p.body", "p.problem")
         if kind == "briefs":
             begun = F.startswith("text", F.lit("---\n"))
@@ -160,7 +172,9 @@ class Vault:
         return rows.where("r.role is not null and not r.again").select(F.col("slug").alias("work"), "r.role", "r.claims")
 
     def _rows(self, kind: str) -> DataFrame:
-        """``origin, slug, section, no, cells, problem`` of every row in the sections of ``TABLES``; ``no`` counts lines of the section."""
+        """``origin, slug, section, no, cells, line, problem`` of every row in the sections of ``TABLES``; ``no`` counts lines of the section."""
+        if ("rows", kind) in self._kept:
+            return self._kept["rows", kind]
         parts = self.cards(kind).select("origin", "slug", F.explode(C.sections(F.col("body"))).alias("s")).where(F.col("s.name").isin(*TABLES))
         rows = parts.select("origin", "slug", F.col("s.name").alias("section"), F.posexplode("s.lines").alias("no", "line")).where(F.startswith("line", F.lit("|")))
         rows = rows.withColumn("cells", C.row_cells(F.col("line")))
