@@ -26,7 +26,7 @@ MAX_LEARNT = 200_000
 UNSEEN_TAG, UNSEEN_WORD = -1.0, 0.4
 
 # Element names of the HTML standard, and words that name page furniture.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "canvas", "head"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "canvas", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
@@ -39,7 +39,13 @@ FURNITURE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie",
     "cookies", "disclaimer", "footer", "form", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager",
     "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "responses", "share", "sharing", "sidebar", "signup", "social", "sponsor",
-    "sponsored", "subscribe", "toolbar", "widget", "reader", "discussion", "respond",
+    "sponsored", "subscribe", "toolbar", "widget",
+}
+#: Words that only say where a part of a page is, or what it is made of.
+LAYOUT_WORDS = {
+    "reader", "user", "site", "page", "post", "posts", "article", "articles", "main", "top", "bottom", "left", "right", "header", "head", "list", "area", "box", "block", "section",
+    "wrapper", "wrap", "container", "inner", "outer", "content", "item", "items", "group", "panel", "bar", "row", "col", "column", "primary", "secondary", "global", "mobile",
+    "sticky", "fixed", "links", "link", "button", "buttons", "thread", "count", "title",
 }
 #: Elements that are text themselves: what their ids and classes are called does not make them furniture.
 TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "summary", "code", "em", "strong", "b", "i", "q", "mark"}
@@ -48,11 +54,24 @@ CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?>"[^"]*"|'[^']*'|[^"'>])*+>|<[a-zA-Z/!?][^>]*>""", re.DOTALL)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _WHITE = re.compile(r"\s+")
 
 
+def attributes(tag: str) -> dict[str, str]:
+    """The attributes of a start tag, names and values in lower case; of a repeated one the first counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTR.findall(tag, _NAME.match(tag).end()):
+        found.setdefault(name.lower(), value.strip("\"'").lower())
+    return found
+
+
+def names_furniture(names: str) -> bool:
+    """Whether one of the names of a class or id stands for page furniture: a word for it, and no other words but those of layout."""
+    return any((words := {w for w in _SPLIT.split(name) if w and not w.isdigit()}) & FURNITURE_WORDS and words <= FURNITURE_WORDS | LAYOUT_WORDS for name in names.split())
+
+
 class Node:
     """An element: its name, its place among the items, whether it is page furniture, how many of it and those above are, and whether one above is content mark-up."""
 
@@ -104,9 +123,9 @@ def parse(page: str) -> tuple[list[tuple[str, str, Node]], Node]:
             opened[node.name] -= 1
             node.end = len(items)
             node = node.parent
-        marks = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m[0])}
-        words = {w for k in ("class", "id") for w in _SPLIT.split(marks.get(k, ""))}
-        furniture = tag in FURNITURE or tag == "head" or tag not in TEXTUAL and bool(words & FURNITURE_WORDS) or marks.get("role") in FURNITURE_ROLES or bool(re.search(r"\shidden\b|aria-hidden=.?true", m[0]))
+        marks = attributes(m[0])
+        named = tag not in TEXTUAL and (names_furniture(marks.get("class", "")) or names_furniture(marks.get("id", "")))
+        furniture = tag in FURNITURE or tag == "head" or named or marks.get("role") in FURNITURE_ROLES or "hidden" in marks or marks.get("aria-hidden") == "true"
         if tag == "header":
             furniture = furniture or not node.marked
         if tag in ("body", "html", "article", "main"):
