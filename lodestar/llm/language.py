@@ -22,6 +22,8 @@ from .quality import held_out
 MAX_DOCS, MAX_WINDOWS = 1500, 6000
 #: Words of a line that one chain spans; longer lines are cut into several chains, none is left out, and no transition crosses a cut.
 WINDOW = 64
+#: Characters of a text that are learnt from at most.
+MAX_LEARNT = 20_000
 EPOCHS, BATCH, STEP, DECAY, SWITCHED = 3, 256, 0.4, 1e-4, 0.3
 #: Characters labelled at once, and words whose scores are remembered.
 SLICE, REMEMBER = 1 << 20, 1_000_000
@@ -212,10 +214,15 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Chain:
 
 
 def training_texts(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """Texts and languages outside the held-out quarter; at most ``max_docs``, chosen by a hash of the id, reach the driver."""
+    """Texts and languages outside the held-out quarter; at most ``max_docs``, chosen by a hash of the id, reach the driver.
+
+    Of a text of more than ``MAX_LEARNT`` characters, so many from a place that the hash tells.
+    """
     usable = docs.where(~held_out(id_col, 4, 2) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     ids = usable.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
-    rows = usable.join(F.broadcast(ids), id_col).where(F.col(text_col).rlike(r"\p{L}")).select(id_col, text_col, lang_col)
+    at = F.pmod(F.xxhash64(id_col), F.greatest(F.length(text_col) - MAX_LEARNT + 1, F.lit(1))).cast("int") + 1
+    learnt = F.substr(text_col, at, F.lit(MAX_LEARNT))
+    rows = usable.join(F.broadcast(ids), id_col).where(F.col(text_col).rlike(r"\p{L}")).select(id_col, learnt.alias(text_col), lang_col)
     return [(r[1], r[2]) for r in rows.orderBy(F.xxhash64(id_col), text_col, lang_col).limit(max_docs).collect()]
 
 
