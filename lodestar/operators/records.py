@@ -111,25 +111,29 @@ def quotes_in_sources(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """``quote_id, source_id``: quotes (``quote_id, quote``) that occur in sources (``source_id, text``), folded to a-z and 0-9.
 
     A source made by character recognition is refused; a null quote is in none, and one that folds to nothing in every
-    source that counts.  Up to ``FEW`` quotes are one broadcast row that each source is searched for.  More meet by an
-    equi-join: quotes by their first ``GRAM`` folded characters, sources by all their grams that start some quote;
-    only quotes shorter than a gram, which must be ``FEW`` at most, are still searched for one by one.
+    source that counts.  Up to ``FEW`` quotes are one broadcast row that each source is searched for.  More meet by
+    equi-joins: quotes by their first ``GRAM`` folded characters, sources by all their grams that start some quote;
+    quotes shorter than a gram are themselves the keys, and sources have grams of each of these lengths.
     """
     own = quotes.select("quote_id", folded(F.col("quote")).alias("q")).where("q is not null")
     refused = F.rlike(F.substring("text", 1, 400), F.lit("(?im)^TOOL:.*OCR"))
     texts = sources.where(~F.coalesce(refused, F.lit(False))).select("source_id", folded(F.col("text")).alias("t")).where("t is not null")
-    many = own.count() > FEW
-    single = own.where(F.length("q") < GRAM) if many else own
-    if many and single.count() > FEW:
-        raise ValueError(f"over {FEW} quotes of fewer than {GRAM} folded characters")
-    row = F.broadcast(single.groupBy().agg(F.collect_set(F.struct("quote_id", "q")).alias("few")))
-    held = texts.join(row).select("source_id", F.explode_outer(F.filter("few", lambda x: F.contains(F.col("t"), x["q"]))).alias("x")).where("x is not null")
-    found = held.select("x.quote_id", "source_id").distinct()
-    if not many:
-        return found
+    if own.count() <= FEW:
+        row = F.broadcast(own.groupBy().agg(F.collect_set(F.struct("quote_id", "q")).alias("few")))
+        held = texts.join(row).select("source_id", F.explode_outer(F.filter("few", lambda x: F.contains(F.col("t"), x["q"]))).alias("x")).where("x is not null")
+        return held.select("x.quote_id", "source_id").distinct()
+
+    def grams(length: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - length + 1, F.lit(1))), lambda i: F.substr("t", i, F.lit(length)))
+
+    short = own.where((F.length("q") < GRAM) & (F.length("q") > 0))
+    lengths = sorted(r[0] for r in short.select(F.length("q")).distinct().collect())  # fewer than GRAM
+    found = texts.select("source_id", F.lit("").alias("q")).join(own.where("q = ''"), "q").select("quote_id", "source_id").distinct()
+    if lengths:
+        held = texts.select("source_id", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, lengths))))).alias("q"))
+        found = found.union(held.join(short, "q").select("quote_id", "source_id").distinct())
     keyed = own.where(F.length("q") >= GRAM).withColumn("gram", F.substring("q", 1, GRAM))
-    places = F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - GRAM + 1, F.lit(1))), lambda i: F.substr("t", i, F.lit(GRAM))))
-    met = texts.select("source_id", places.alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi").distinct()
+    met = texts.select("source_id", F.explode_outer(grams(GRAM)).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi").distinct()
     near = met.join(keyed, "gram").select("source_id", "quote_id", "q")
     return found.union(near.join(texts, "source_id").where(F.contains("t", F.col("q"))).select("quote_id", "source_id").distinct())
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as words
-from lodestar.operators import fingerprints, impact, network, records
+from lodestar.operators import fingerprints, impact, network, policy, records
 from lodestar.plans.catalog import PARENTS
 from lodestar.plans.registry import query
 from lodestar.plans.retrieval import EVIDENCE
@@ -383,7 +383,23 @@ def k4_orders_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 def m2_promotable_concepts(spark: SparkSession, d: str) -> DataFrame:
     t = Star(spark, d).table
     sold = t("lineitem").join(t("orders").where("o_orderstatus <> 'F'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return sold.groupBy(F.concat(F.lit("concept:part-"), _text("l_partkey")).alias("concept")).agg(F.count_distinct("o_custkey").alias("supporters")).where("supporters >= 3")
+    return policy.promotable(sold.select(F.concat(F.lit("concept:part-"), _text("l_partkey")).alias("concept"), F.col("o_custkey").alias("work")))
+
+
+USES = "uses AS (SELECT DISTINCT 'customer-' || o_custkey AS card, 'part-' || l_partkey AS slug FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45)"
+
+
+@query(f"""WITH {USES}, c AS (SELECT 'part-' || p_partkey AS slug, p_size % 6 = 0 AS old, 'part-' || (p_partkey + 1) AS successor FROM part)
+SELECT 'orphan' AS problem, slug AS item FROM c WHERE NOT old AND slug NOT IN (SELECT slug FROM uses) UNION ALL SELECT 'deprecated', card || ' ' || slug || ' ' || successor FROM uses JOIN c USING (slug) WHERE old
+UNION ALL SELECT 'unlisted', 'customer-' || c_custkey FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'no file', 'supplier-' || s_suppkey FROM supplier WHERE s_acctbal < 0""")
+def m3_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as concepts that customers' cards use; an index that leaves out customers in debt and lists suppliers in debt, who have no card."""
+    t = Star(spark, d).table
+    name = lambda kind, c: F.concat(F.lit(f"{kind}-"), _text(c))
+    concepts = t("part").select(name("part", "p_partkey").alias("slug"), F.when(F.col("p_size") % 6 == 0, "deprecated").otherwise("canonical").alias("status"), F.concat(F.lit("part-"), (F.col("p_partkey") + 1).cast("string")).alias("successor"))
+    uses = t("lineitem").where("l_quantity >= 45").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(name("customer", "o_custkey").alias("card"), name("part", "l_partkey").alias("slug"))
+    listed = t("customer").where("c_acctbal >= 0").select(name("customer", "c_custkey").alias("card")).union(t("supplier").where("s_acctbal < 0").select(name("supplier", "s_suppkey")))
+    return policy.parity(concepts, uses, listed, t("customer").select(name("customer", "c_custkey").alias("card")))
 
 
 @query(f"WITH RECURSIVE {EVIDENCE} SELECT 'concept:part-' || p_partkey AS orphan FROM part ANTI JOIN ev_edges ON dst = 'concept:part-' || p_partkey")
@@ -396,17 +412,15 @@ def m3_orphan_tags(spark: SparkSession, d: str) -> DataFrame:
 def m4_discover_gate(spark: SparkSession, d: str) -> DataFrame:
     t = Star(spark, d).table
     sold = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    each = sold.groupBy(F.col("o_orderpriority").alias("topic"), "o_custkey").agg(F.max((F.col("c_nationkey") != F.col("s_nationkey")).cast("int")).alias("x"))
-    out = each.groupBy("topic").agg(F.count(F.lit(1)).alias("papers"), F.sum("x").alias("crossing"))
-    return out.withColumn("open", (F.col("papers") >= 15) & (F.col("crossing") >= 3))
+    return policy.discover_gate(sold.select(F.col("o_orderpriority").alias("topic"), F.col("o_custkey").alias("work"), (F.col("c_nationkey") != F.col("s_nationkey")).alias("crosses")))
 
 
 @query("SELECT o_orderkey, count(DISTINCT p_name) AS bridges FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_name NOT LIKE '% bolt' GROUP BY 1 HAVING count(DISTINCT p_name) >= 2 ORDER BY bridges DESC, o_orderkey LIMIT 5")
 def m5_transfer_bridges(spark: SparkSession, d: str) -> DataFrame:
     """The five candidates with most bridges that are no hub words."""
     t = Star(spark, d).table
-    sold = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).where(~F.endswith("p_name", F.lit(" bolt"))).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return sold.groupBy("o_orderkey").agg(F.count_distinct("p_name").alias("bridges")).where("bridges >= 2").orderBy(F.desc("bridges"), "o_orderkey").limit(5)
+    sold = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("transfer"), F.col("p_name").alias("bridge"))
+    return policy.transfer_candidates(sold, F.endswith("bridge", F.lit(" bolt"))).withColumnRenamed("transfer", "o_orderkey")
 
 
 @query("SELECT term, count(DISTINCT doc_id) AS cards FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]+|[一-鿿]+'))) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 3")
@@ -417,17 +431,25 @@ def m7_recurring_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_type || '/' || p_brand AS rule, count(*) FILTER (p_size >= 10) AS support, count(*) AS n, count(*) FILTER (p_size >= 10) >= 3 AND count(*) FILTER (p_size < 10) = 0 AS stable FROM part GROUP BY 1")
 def m8_rule_support(spark: SparkSession, d: str) -> DataFrame:
-    support, against = F.count(F.when(F.col("p_size") >= 10, 1)), F.count(F.when(F.col("p_size") < 10, 1))
-    return Star(spark, d).table("part").groupBy(F.concat_ws("/", "p_type", "p_brand").alias("rule")).agg(support.alias("support"), F.count(F.lit(1)).alias("n"), ((support >= 3) & (against == 0)).alias("stable"))
+    return policy.rule_support(Star(spark, d).table("part").select(F.concat_ws("/", "p_type", "p_brand").alias("rule"), (F.col("p_size") >= 10).alias("fits")))
 
 
 @query("SELECT c_mktsegment AS topic, count(*) AS papers, count(*) // 20 AS rounds, count(*) FILTER (c_acctbal < 500) > 20 AS backlog FROM customer GROUP BY 1")
 def m9_cadence(spark: SparkSession, d: str) -> DataFrame:
-    n = F.count(F.lit(1))
-    return Star(spark, d).table("customer").groupBy(F.col("c_mktsegment").alias("topic")).agg(n.alias("papers"), F.floor(n / 20).alias("rounds"), (F.count(F.when(F.col("c_acctbal") < 500, 1)) > 20).alias("backlog"))
+    return policy.cadence(Star(spark, d).table("customer").select(F.col("c_mktsegment").alias("topic"), (F.col("c_acctbal") < 500).alias("waiting")))
 
 
 @query("SELECT l_partkey AS concept, year(o_orderdate)::INTEGER AS year, count(DISTINCT o_custkey) AS works FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def m10_timeline(spark: SparkSession, d: str) -> DataFrame:
     t = Star(spark, d).table
-    return t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_partkey").alias("concept"), F.year("o_orderdate").alias("year")).agg(F.count_distinct("o_custkey").alias("works"))
+    sold = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return policy.timeline(sold.select(F.col("l_partkey").alias("concept"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("work")))
+
+
+@query("""WITH c AS (SELECT 'order' AS kind, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE '(none)' END AS status, year(o_orderdate)::INTEGER AS year FROM orders UNION ALL SELECT 'line', l_returnflag, year(l_shipdate)::INTEGER FROM lineitem)
+SELECT kind, status, count(*) AS n, max(year) AS newest FROM c GROUP BY ALL""")
+def m10_status_radar(spark: SparkSession, d: str) -> DataFrame:
+    t = Star(spark, d).table
+    status = F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "O", "open").otherwise("")
+    orders = t("orders").select(F.lit("order").alias("kind"), status.alias("status"), F.year("o_orderdate").alias("year"))
+    return policy.status_radar(orders.union(t("lineitem").select(F.lit("line"), "l_returnflag", F.year("l_shipdate"))))

@@ -1,5 +1,7 @@
 """Operators of evidence, port, expansion, impact and records on small fixtures, at their limits and with odd rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,16 @@ def test_quotes_are_found_folded_whole_and_short(spark, monkeypatch, few):
     assert rows(records.quotes_in_sources(quotes, sources), "quote_id", "source_id") == [(1, 1), (2, 3)]
 
 
+def test_any_number_of_short_quotes(spark):
+    draw = random.Random(4)
+    quotes = [(i, "".join(draw.choices("abc-", k=draw.randrange(0, 16)))) for i in range(450)] + [(900, None), (901, "-")]
+    sources = [(i, "".join(draw.choices("abcABC .", k=draw.randrange(0, 90)))) for i in range(40)] + [(99, None), (98, "TOOL: some OCR\nabc")]
+    fold = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    want = sorted((q, s) for q, x in quotes if x is not None for s, y in sources if y is not None and s != 98 and fold(x) in fold(y))
+    got = records.quotes_in_sources(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(sources, "source_id int, text string"))
+    assert rows(got, "quote_id", "source_id") == want
+
+
 def test_receipts_and_cards_report_every_rule(spark):
     bad = spark.createDataFrame([("acquired", "mismatch", "odd", "/x", None, None), ("acquired", "verified", "ready", "a/b", "h", None)], "acquisition_status string, identity_status string, text_status string, staged_path string, sha256 string, quarantined boolean")
     got = bad.select(records.receipt_violations().alias("v"), records.claim_eligible().alias("ok")).collect()

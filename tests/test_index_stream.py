@@ -8,7 +8,7 @@ from test_vault import FILES
 
 from lodestar.operators import bundle, evidence, graph, impact, network, port, ranking, scopes, validators
 from lodestar.sources import providers
-from lodestar.sources.index import VaultIndex, difference, near_titles, shared_identifiers
+from lodestar.sources.index import VaultIndex, difference, evidence_updates, near_titles, record_reviews, record_updates, shared_identifiers
 from lodestar.sources.projects import Projects
 from lodestar.sources.vault import CardTable
 from lodestar.sources.vault_graph import VaultGraph
@@ -66,6 +66,55 @@ def test_new_cards_are_confirmed_against_the_stored(spark, tmp_path):
     assert rows(near_titles(index.at(), fresh), "a", "b") == [("new", "old")]
 
 
+RESTING = {
+    "papers/p.md": "---\ntitle: P\n---\n- C1: quote — p.1\n", "gaps/g.md": "---\nstatus: live\nconcepts: [flow]\n---\n## Synthesis\n| S1 | st | claim:p#C1 | - | why |\n",
+    "briefs/b.md": "---\ntopic: x\n---\n## Synthesis\n| B1 | st | - | gap:g | why |\n", "transfers/t.md": "---\na: flow\nc: lakes\n---\n## Synthesis\n| T1 | st | claim:p#C1 | - | why |\n",
+    "papers/q.md": "---\ntitle: Q\n---\n- C1: other — p.2\n", "concepts.md": FILES["concepts.md"], "domains.md": FILES["domains.md"],
+}
+RELATION = "\n## Evidence relations\n| C1 | {} | gap:g | system | direct_response | s | r |\n"
+
+
+def test_an_edit_asks_for_reviews_and_later_evidence_reopens(spark, tmp_path):
+    index, table = VaultIndex(spark, f"file://{tmp_path}/i", parts=4), KeyedTable(spark, f"file://{tmp_path}/t", ["node_id", "entry"], parts=2)
+
+    def edit(**files):
+        index.refresh(CardTable(spark.createDataFrame(list((RESTING | {k.replace("__", "/") + ".md": v for k, v in files.items()}).items()), "path string, text string")))
+        version = index.at().told["version"]
+        if version > 1:
+            record_updates(table, evidence_updates(index.at(version - 1), index.at()))
+        return {(r.node_id, r.entry): (r.n_events, r.n_reviewed, r.status, "; ".join(r.suggestions)) for r in table.read().collect()} if version > 1 else {}
+
+    edit()
+    question, fresh = "review whether to question the judgment", (0, 0, "unchanged", "")
+    state = edit(papers__q=RESTING["papers/q.md"] + RELATION.format("disputes"))
+    assert state == {("gap:g", "S1"): (1, 0, "pending", question), ("brief:b", "B1"): (1, 0, "pending", question), ("transfer:t", "T1"): fresh}
+    reviews = spark.createDataFrame([("gap:g", "S1", "retain", "another setting"), ("brief:b", "B1", "retain", " "), ("transfer:t", "T1", "revise", "x")], "node_id string, entry string, decision string, note string")
+    assert rows(record_reviews(table, reviews)) == [("brief:b", "B1", "invalid_review"), ("gap:g", "S1", "resolved"), ("transfer:t", "T1", "not_pending")]
+    disputed = RESTING["papers/q.md"] + RELATION.format("disputes")
+    state = edit(papers__q=disputed, papers__new="---\ntitle: N\n---\n")  # nothing that any judgment rests on
+    assert state[("gap:g", "S1")] == (1, 1, "resolved", "") and state[("brief:b", "B1")] == (1, 0, "pending", question)
+    state = edit(papers__q=RESTING["papers/q.md"] + RELATION.format("reframes"), papers__p="---\ntitle: P\n---\n- C1: quote, corrected — p.1\n", papers__new="---\ntitle: N\n---\n")
+    removed, scope = "review judgment after evidence relation removal", "review scope and whether to narrow the judgment"
+    assert state[("gap:g", "S1")] == (2, 1, "pending", f"{removed}; {scope}") and state[("brief:b", "B1")] == (2, 0, "pending", f"{removed}; {scope}; {question}")
+    assert state[("transfer:t", "T1")] == (1, 0, "pending", "review changed evidence and applicability")
+
+
+def test_an_event_between_reading_and_reviewing_is_not_covered(spark, tmp_path, monkeypatch):
+    table = KeyedTable(spark, f"file://{tmp_path}/t", ["node_id", "entry"], parts=1)
+    change = lambda said: spark.createDataFrame([("g", "S", 1, 0, True, said)], "node_id string, entry string, changed_nodes long, changed_edges long, affected boolean, suggestions string")
+    record_updates(table, change("one"))
+    merge = KeyedTable.merge
+
+    def late(self, new, resolve=None, tries=10):
+        monkeypatch.setattr(KeyedTable, "merge", merge)
+        record_updates(table, change("two"))
+        return merge(self, new, resolve, tries)
+
+    monkeypatch.setattr(KeyedTable, "merge", late)
+    record_reviews(table, spark.createDataFrame([("g", "S", "retain", "read")], "node_id string, entry string, decision string, note string"))
+    assert rows(table.read()) == [("g", "S", 2, 1, "pending", ["one", "two"])]
+
+
 LOG = f"node_id string, entry string, {evidence.LOG}"
 
 
