@@ -10,6 +10,7 @@ within R.  What is retrieved is ranked by exact distances.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,15 +109,21 @@ def nearest(table: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_i
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows but those of the
     query's own id.  ``score`` is the Euclidean distance in double precision.  Vectors null, zero, or
-    with null or non-finite components take no part, nor do those of a dimension other than the
-    sample's most common one.  A repeated row counts once; fewer than ``k`` candidates are all returned.
+    with null or non-finite components take no part.  Vectors of each dimension are searched among their own,
+    with codes of their own.  A repeated row counts once; fewer than ``k`` candidates are all returned.
     """
-    rows = materialize(usable(table, id_col, vector_col, zero=False).distinct(), "vectors")
+    rows = materialize(usable(table, id_col, vector_col, zero=False).distinct().withColumn("size", F.size("v")), "vectors")
+    sizes = sorted(r["size"] for r in rows.select("size").distinct().collect())  # dimensions of embeddings, not rows
+    parts = [_of_one_size(rows.where(F.col("size") == size).select("vec_id", "v"), size, every, k) for size in sizes]
+    schema = "query_id long, vec_id long, score double"
+    found = reduce(DataFrame.union, parts) if parts else table.sparkSession.createDataFrame([], schema)
+    return best_of(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, F.col("score"))
+
+
+def _of_one_size(rows: DataFrame, size: int, every: int, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` of what each range finds for each query among vectors of one dimension."""
     sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(MAX_SAMPLE).collect()]
-    sizes = [len(v) for v in sample]
-    size = max(sorted(set(sizes)), key=sizes.count, default=0)
-    rows = rows.where(F.size("v") == size)
-    coder = Coder(np.array([v for v in sample if len(v) == size])) if sample else None
+    coder = Coder(np.array(sample))
     ranges = pack_blocks(rows, RANGE, "ranges")
     asked = pack_blocks(rows.where(F.col("vec_id") % every == 0), QUERIES, "queries")
 
@@ -129,5 +136,4 @@ def nearest(table: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_i
                 found = [f for i, own in enumerate(np.frombuffer(r["q_ids"], "<i8")) for f in index.nearest(int(own), q[i], codes[i], k)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = meetings(ranges, asked).mapInArrow(work, "query_id long, vec_id long, score double")
-    return best_of(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, F.col("score"))
+    return meetings(ranges, asked).mapInArrow(work, "query_id long, vec_id long, score double")
