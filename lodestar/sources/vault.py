@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,8 +84,10 @@ class Vault:
     def keep(self) -> Vault:
         """The same vault with its cards cut, and the rows of their tables read, once for all that is asked of it."""
         kept = copy.copy(self)
-        kept._kept = {("cards", kind): stored(self.cards(kind)) for kind in HELD}
-        kept._kept |= {("rows", kind): stored(kept._rows(kind)) for kind in HELD}
+        kept._kept = {}
+        with ThreadPoolExecutor(len(HELD)) as pool:  # small jobs beside each other
+            kept._kept |= dict(zip([("cards", k) for k in HELD], pool.map(lambda k: stored(self.cards(k)), HELD), strict=True))
+            kept._kept |= dict(zip([("rows", k) for k in HELD], pool.map(lambda k: stored(kept._rows(k)), HELD), strict=True))
         return kept
 
     def _exists(self, path: str) -> bool:
