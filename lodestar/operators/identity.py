@@ -51,14 +51,8 @@ def title_bounds(titles: DataFrame, ratio: float = RATIO) -> DataFrame:
     return pairs.where(lengths).select(F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), (2 * common / both).alias("bound")).where(F.col("bound") >= ratio)
 
 
-def similar_titles(items: DataFrame, key: str, title: str, ratio: float = RATIO, among: DataFrame | None = None) -> DataFrame:
-    """``a, b, score``: pairs of items whose normalised titles have a sequence-matching ratio of ``ratio`` or more, keys in order.
-
-    Each different title is compared once, and only where ``title_bounds`` leave it open; the match itself is Arrow
-    batches, as Spark has no such function.  Items without a title are in no pair.  ``among`` (``k``) keeps pairs of which one
-    item is among these.
-    """
-    base = stored(items.select(F.col(key).alias("k"), normal_title(title).alias("t")).where("t <> ''"))
+def _matches(bounds: DataFrame, ratio: float) -> DataFrame:
+    """``ta, tb, score`` of title pairs that ``bounds`` leave open and whose ratio is ``ratio`` or more."""
 
     def matched(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
@@ -67,11 +61,37 @@ def similar_titles(items: DataFrame, key: str, title: str, ratio: float = RATIO,
 
     match = F.pandas_udf(matched, T.DoubleType())
     # the order of the two texts can change the ratio; both are tried
+    return bounds.select("ta", "tb", F.greatest(match("ta", "tb"), match("tb", "ta")).alias("score")).where(F.col("score") >= ratio)
+
+
+def title_classes(items: DataFrame, key: str, title: str, ratio: float = RATIO) -> DataFrame:
+    """``kind, a, b, score``: similar titles without a row for each pair of items of equal titles.
+
+    Items of one normalised title are a class, named by its least key.  A ``member`` row tells the class ``a`` of each item
+    ``b`` with a key and a title (score 1), a ``similar`` row two classes, in order, whose titles match as in ``similar_titles``:
+    its pairs are those within a class and those between items of two similar classes.
+    """
+    base = stored(items.select(F.col(key).alias("k"), normal_title(title).alias("t")).where("t <> '' and k is not null"))
+    classes = stored(base.groupBy("t").agg(F.min("k").alias("c")))
+    members = base.join(classes, "t").select(F.lit("member").alias("kind"), F.col("c").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("score"))
+    told = _matches(title_bounds(classes.select("t"), ratio), ratio)
+    named = told.join(classes.select(F.col("t").alias("ta"), F.col("c").alias("x")), "ta").join(classes.select(F.col("t").alias("tb"), F.col("c").alias("y")), "tb")
+    return members.union(named.select(F.lit("similar"), F.least("x", "y"), F.greatest("x", "y"), "score"))
+
+
+def similar_titles(items: DataFrame, key: str, title: str, ratio: float = RATIO, among: DataFrame | None = None) -> DataFrame:
+    """``a, b, score``: pairs of items whose normalised titles have a sequence-matching ratio of ``ratio`` or more, keys in order.
+
+    Each different title is compared once, and only where ``title_bounds`` leave it open; the match itself is Arrow
+    batches, as Spark has no such function.  Items without a title are in no pair.  ``among`` (``k``) keeps pairs of which one
+    item is among these.
+    """
+    base = stored(items.select(F.col(key).alias("k"), normal_title(title).alias("t")).where("t <> ''"))
     bounds = title_bounds(base.select("t").distinct(), ratio)
     if among is not None:
         mine = stored(base.join(among.select("k"), "k", "left_semi").select(F.col("t").alias("own")).distinct())
         bounds = bounds.join(mine, F.col("ta") == F.col("own"), "left_semi").union(bounds.join(mine, F.col("tb") == F.col("own"), "left_semi")).distinct()
-    told = bounds.select("ta", "tb", F.greatest(match("ta", "tb"), match("tb", "ta")).alias("score")).where(F.col("score") >= ratio)
+    told = _matches(bounds, ratio)
     told = stored(told.union(told.select("tb", "ta", "score")))
     equal = base.alias("x").join(base.alias("y"), "t").where("x.k < y.k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.lit(1.0).alias("score"))
     other = told.join(base.select(F.col("k").alias("a"), F.col("t").alias("ta")), "ta").join(base.select(F.col("k").alias("b"), F.col("t").alias("tb")), "tb").where("a < b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import candidate_key, has_word, terms
 from lodestar.operators import change, graph, identity, impact, ranking
+from lodestar.plans import catalog
 
 
 def rows(frame):
@@ -48,6 +49,25 @@ def test_similar_titles_as_brute_force(spark):
     assert [(a, b) for a, b, _ in rows(identity.similar_titles(frame, "k", "t"))] == want
 
 
+def test_title_classes_hold_every_similar_pair(spark):
+    titles = ["deep learning for graphs", "deep learning for graph", "Deep, learning for graphs!", "quantum fields", "quantum field", "a", "b", "", None]
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(titles * 3)] + [(None, "quantum fields")], "k long, t string")
+    got = identity.title_classes(frame, "k", "t").collect()
+    members = [(r.a, r.b) for r in got if r.kind == "member"]
+    assert sorted(b for _, b in members) == [k for k in range(27) if titles[k % 9]]
+    of = lambda c: [b for a, b in members if a == c]
+    pairs = {(min(p), max(p), r.score) for r in got if r.kind == "similar" for p in [(x, y) for x in of(r.a) for y in of(r.b)]}
+    pairs |= {(x, y, 1.0) for c, x in members for y in of(c) if x < y}
+    assert pairs == {tuple(r) for r in identity.similar_titles(frame, "k", "t").collect()}
+
+
+def test_fuzzy_titles_query_has_no_row_for_each_pair_of_copies(spark):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    got = catalog.j13_fuzzy_titles(spark, "/root/testdata/sf0.001")
+    assert got.where("kind = 'member'").count() == part.count()
+    assert got.where("kind = 'similar'").count() <= part.select("p_name").distinct().count() ** 2 / 2
+
+
 def test_round_robin_takes_each_lane_in_turn(spark):
     frame = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("b", 2, "z"), ("c", 1, "w")], "lane string, p int, k string")
     assert rows(ranking.round_robin(frame, "lane", "p", "k", 3)) == [("w", 2), ("x", 1), ("y", 3)]
