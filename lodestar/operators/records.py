@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.text import case_folded, folded
+from lodestar.sources.stored import stored
 
 # What the three axes of a receipt may say, and how much of a source a card may claim to have read.
 ACQUISITION = ("acquired", "not_found", "auth_required", "manual_action", "failed")
@@ -17,6 +20,8 @@ DEPTH = ("full", "skim", "abstract", "metadata")
 HEAD, OUTCOME = 4000, 200
 #: Quotes that each source is searched for, and folded characters by which more quotes and sources meet.
 FEW, GRAM = 200, 12
+#: Marks by which sources leave out grams that start no quote: a prime number of bits, as many as a few bitmaps of Spark hold.
+MARKS, BITMAP = 1_048_573, 32_768
 
 
 def violations(rules: dict[str, Column]) -> Column:
@@ -107,35 +112,74 @@ def retracted_citations(rows: DataFrame, retracted: DataFrame) -> DataFrame:
     return rows.join(retracted.select("claim"), "claim", "left_semi")
 
 
+def gram_codes(c: Column, lengths: list[int] | None = None, marks: bytes = b"") -> Column:
+    """The different grams of a folded text that have one of ``lengths`` (up to ``GRAM``) and a mark, as numbers; without ``lengths`` the text itself.
+
+    A gram read with the digits 1 to 36 is a number of its own among grams of every length, and fits a long.
+    """
+
+    def codes(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        marked = np.unpackbits(np.frombuffer(marks, np.uint8), bitorder="little")
+
+        def of(text: str | None) -> np.ndarray | None:
+            if text is None:
+                return None
+            digits = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+            digits = np.where(digits < 58, digits - 47, digits - 86)
+            code, found = np.zeros(len(digits), np.int64), [np.zeros(0, np.int64)]
+            for n in range(1, min(max(lengths or [GRAM]), len(digits)) + 1):
+                code = code[: len(digits) - n + 1] * 36 + digits[n - 1 :]
+                if lengths is None and n == len(digits):
+                    found.append(code)
+                elif lengths and n in lengths:
+                    found.append(code[marked[code % MARKS] > 0])
+            return np.unique(np.concatenate(found))
+
+        return texts.map(of)
+
+    return F.pandas_udf(codes, T.ArrayType(T.LongType()))(c)
+
+
+def _marks(codes: DataFrame) -> bytes:
+    """The bits of ``code`` modulo ``MARKS``, put together from bitmaps of ``BITMAP`` bits each."""
+    place = F.pmod("code", F.lit(MARKS)) + 1  # Spark's bitmaps count from one
+    parts = codes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    of = {r.part: bytes(r.bits) for r in parts}
+    return b"".join(of.get(n, bytes(BITMAP // 8)) for n in range(1, MARKS // BITMAP + 2))
+
+
 def quotes_in_sources(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """``quote_id, source_id``: quotes (``quote_id, quote``) that occur in sources (``source_id, text``), folded to a-z and 0-9.
 
     A source made by character recognition is refused; a null quote is in none, and one that folds to nothing in every
-    source that counts.  Up to ``FEW`` quotes are one broadcast row that each source is searched for.  More meet by
-    equi-joins: quotes by their first ``GRAM`` folded characters, sources by all their grams that start some quote;
-    quotes shorter than a gram are themselves the keys, and sources have grams of each of these lengths.
+    source that counts.  Up to ``FEW`` quotes are one broadcast row that each source is searched for.  More meet by an
+    equi-join: quotes by their first ``GRAM`` folded characters, or all of a shorter one, sources by their grams of these
+    lengths, of which a bitmap leaves out most that start no quote.
     """
-    own = quotes.select("quote_id", folded(F.col("quote")).alias("q")).where("q is not null")
+    own = quotes.where("quote is not null").select("quote_id", folded(F.col("quote")).alias("q"))
     refused = F.rlike(F.substring("text", 1, 400), F.lit("(?im)^TOOL:.*OCR"))
-    texts = sources.where(~F.coalesce(refused, F.lit(False))).select("source_id", folded(F.col("text")).alias("t")).where("t is not null")
+    texts = sources.where(~F.coalesce(refused, F.lit(False)) & F.col("text").isNotNull()).select("source_id", folded(F.col("text")).alias("t"))
     if own.count() <= FEW:
         row = F.broadcast(own.groupBy().agg(F.collect_set(F.struct("quote_id", "q")).alias("few")))
         held = texts.join(row).select("source_id", F.explode_outer(F.filter("few", lambda x: F.contains(F.col("t"), x["q"]))).alias("x")).where("x is not null")
         return held.select("x.quote_id", "source_id").distinct()
 
-    def grams(length: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - length + 1, F.lit(1))), lambda i: F.substr("t", i, F.lit(length)))
-
-    short = own.where((F.length("q") < GRAM) & (F.length("q") > 0))
-    lengths = sorted(r[0] for r in short.select(F.length("q")).distinct().collect())  # fewer than GRAM
-    found = texts.select("source_id", F.lit("").alias("q")).join(own.where("q = ''"), "q").select("quote_id", "source_id").distinct()
-    if lengths:
-        held = texts.select("source_id", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, lengths))))).alias("q"))
-        found = found.union(held.join(short, "q").select("quote_id", "source_id").distinct())
-    keyed = own.where(F.length("q") >= GRAM).withColumn("gram", F.substring("q", 1, GRAM))
-    met = texts.select("source_id", F.explode_outer(grams(GRAM)).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi").distinct()
-    near = met.join(keyed, "gram").select("source_id", "quote_id", "q")
-    return found.union(near.join(texts, "source_id").where(F.contains("t", F.col("q"))).select("quote_id", "source_id").distinct())
+    keyed = stored(own.select("quote_id", "q", F.explode_outer(gram_codes(F.substring("q", 1, GRAM))).alias("code")))  # no code: an empty quote
+    found = texts.select("source_id", F.lit("").alias("q")).join(keyed.where("code is null").select("quote_id", "q"), "q").select("quote_id", "source_id").distinct()
+    keyed = keyed.where("code is not null")
+    lengths = sorted(r[0] for r in keyed.select(F.least(F.length("q"), F.lit(GRAM))).distinct().collect())  # GRAM at most
+    if not lengths:
+        return found
+    marked = texts.select("source_id", "t", gram_codes(F.col("t"), lengths, _marks(keyed)).alias("codes"))
+    # repeated ids are told apart by numbers, which need a written copy; texts without a code are not written
+    marked = stored(marked.select(F.monotonically_increasing_id().alias("row"), "source_id", "codes", F.when(F.size("codes") > 0, F.col("t")).alias("t")))
+    met = marked.select("row", "source_id", F.explode("codes").alias("code")).join(keyed, "code")
+    whole = met.where(F.length("q") <= GRAM)
+    begun = met.where(F.length("q") > GRAM).select("row", "source_id", "quote_id", "q")
+    held = begun.join(marked.select("row", "t"), "row").where(F.contains("t", F.col("q")))
+    return found.union(whole.select("quote_id", "source_id")).union(held.select("quote_id", "source_id")).distinct()
 
 
 def replaced_passage(text: Column, passage: Column, revised: Column) -> Column:

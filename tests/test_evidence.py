@@ -1,6 +1,7 @@
 """Operators of evidence, port, expansion, impact and records on small fixtures, at their limits and with odd rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,17 @@ def test_any_number_of_short_quotes(spark):
     assert rows(got, "quote_id", "source_id") == want
 
 
+def test_a_long_source_is_searched_once(spark):
+    draw = random.Random(12)
+    text = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=600_000))
+    held = [text[i : i + 40] for i in range(0, 600_000, 3000)]
+    quotes = [(i, q) for i, q in enumerate([*held, text[-12:], text[-5:], "-"])] + [(900, text[:40][::-1])]
+    start = time.monotonic()
+    got = records.quotes_in_sources(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame([(1, text), (1, "other"), (None, text[:60])], "source_id int, text string"))
+    assert {tuple(r) for r in got.collect()} == {*((i, 1) for i in range(203)), (0, None), (202, None)}
+    assert time.monotonic() - start < 60  # a gram at a time, each from the text's start, takes minutes
+
+
 def test_receipts_and_cards_report_every_rule(spark):
     bad = spark.createDataFrame([("acquired", "mismatch", "odd", "/x", None, None), ("acquired", "verified", "ready", "a/b", "h", None)], "acquisition_status string, identity_status string, text_status string, staged_path string, sha256 string, quarantined boolean")
     got = bad.select(records.receipt_violations().alias("v"), records.claim_eligible().alias("ok")).collect()
