@@ -356,3 +356,31 @@ def test_word_ends_lose_only_ascii_punctuation(spark):
     frame = spark.createDataFrame([(w,) for w in words], "word string")
     got = [r[0] for r in frame.select(line_dedup._stripped("word")).collect()]
     assert got == [w.strip(line_dedup.PUNCTUATION) for w in words]
+
+
+def test_line_dedup_finds_the_same_in_a_larger_table(spark):
+    draw = random.Random(31)
+
+    def some(letters: str, n: int) -> list[str]:
+        return ["".join(draw.choices(letters, k=draw.randrange(4, 9))) for _ in range(n)]
+
+    vocabulary, pairs = some("abcdefghijklm", 3000), []
+    for _ in range(1000):
+        words = draw.choices(vocabulary, k=10)
+        pairs.append((" ".join(words), " ".join([*words[:4], draw.choice(vocabulary), *words[5:]])))
+    table = [(0, "\n".join(a for a, _ in pairs)), (1, "\n".join(b for _, b in pairs))]
+    other = some("nopqrstuvwxyz", 60000)
+    more = [(2 + i, "\n".join(" ".join(draw.choices(other, k=10)) for _ in range(1000))) for i in range(20)]
+    own = lambda rows: {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), wide=True).where("doc_id < 2").collect()}
+    alone = own(table)
+    assert own(table + more) == alone
+    assert alone[0] == table[0][1] and len(alone[1].split("\n")) <= 100  # nine links of ten and more
+
+
+def test_lines_of_a_wide_bucket_all_meet(spark):
+    """Eight groups of similar lines that share two thirds of their words: hubs of a bucket would leave some out."""
+    base = [f"common{i}" for i in range(60)]
+    lines = [" ".join([*base, *(f"{'abcdefgh'[g] * 9}{i}" for i in range(30)), f"end{g}{n}"]) for g in range(8) for n in range(3)]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    kept = [r.doc_id for r in line_dedup.dedup_lines(docs, wide=True).where("n_kept > 0").orderBy("doc_id").collect()]
+    assert kept == [3 * g for g in range(8)]
